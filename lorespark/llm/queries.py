@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, mixing, packing, quality
+from . import exact_dedup, imatch, langid, licenses, mixing, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_language_id": langid.op6_language_id,
+    "op7_imatch": imatch.op7_imatch,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_packing": packing.op9_packing,
+    "op10_license_scan": licenses.op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
