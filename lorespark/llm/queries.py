@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, imatch, langid, licenses, mixing, packing, quality
+from . import exact_dedup, imatch, langid, licenses, mixing, ngram_join, packing, quality, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_url_filter": url_filter.op2_url_filter,
+    "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_language_id": langid.op6_language_id,
@@ -19,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": url_filter.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
 }
