@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import prepare
+
 #: Ids 0 to 3.
 SPECIAL = ("<PAD>", "<UNK>", "<BOS>", "<EOS>")
 WORD_PIECE = r"[a-zA-Z']+|[^a-zA-Z'\s]+"
@@ -126,6 +128,7 @@ def bpe_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
 
 def bpe_encode(rows: DataFrame, key: str, text: str, merges: list[tuple[str, str]]) -> DataFrame:
     """key, tokens: each distinct word is split once, in Arrow batches, and joined back."""
+    prepare(rows.sparkSession)
     ranks = {p: k for k, p in enumerate(merges)}
 
     def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

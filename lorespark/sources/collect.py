@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import prepare
+
 #: A body of fewer UTF-8 bytes is a failure.
 LEAST_BYTES = 100
 #: Seconds between requests to one host.
@@ -32,6 +34,8 @@ class Fetcher(ABC):
 
 def fetched(sources: DataFrame, fetcher: Fetcher, sleep: float = BACKOFF_S) -> DataFrame:
     """Payload rows; a host's sources are in one task, one after the other, each tried up to ATTEMPTS times."""
+    prepare(sources.sparkSession)
+
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
 
