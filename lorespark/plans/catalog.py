@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus_queries, retrieval_queries, text_queries
+from . import corpus_queries, extract_queries, retrieval_queries, text_queries
 
-MODULES = (text_queries, corpus_queries, retrieval_queries)
+MODULES = (text_queries, corpus_queries, extract_queries, retrieval_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
