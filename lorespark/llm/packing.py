@@ -11,15 +11,15 @@ carried as null; an empty table gives no rows; columns other than doc_id and tex
 
 from __future__ import annotations
 
+import os
 import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +28,9 @@ from .common import documents, materialize, prepare
 LENGTH = 2048
 END_ID = 1
 #: Words a worker remembers; the memory is cleared when it is full.
-WORDS = 400_000
+WORDS = 1_200_000
+#: Texts encoded together.
+TOGETHER = 64
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SLOT = "length long, low long, high long, first_sequence long, offset long"
@@ -40,38 +42,51 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian 32-bit."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordEncoder:
-    """Ids of a text, word by word with a memory; the same ids as Tokenizer.encode gives for the whole text.
+    """Ids of texts, word by word with a memory; the same ids as Tokenizer.encode gives for the whole text.
 
     The file's pre-tokenizer never lets a word depend on its neighbours. Texts with characters on which
     Python's and the file's normalisers might differ go through the tokenizer as a whole.
     """
 
     ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-    WIDE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-    ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0İ]|[^\x00-ɏ‐-‧‰-⁞]|<\\|")
+    #: The same for letters and numbers of Latin scripts, which ODD lets pass.
+    LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼-¾]|[^\sa-z0-9ªµºÀ-ÖØ-öø-ɏ²³¹¼-¾]+")
+    ODD = re.compile("[\x7f-\xa0İ]|[^\x00-ɏ‐-‧‰-⁞]")
+    #: Of ASCII: control characters that only Python has for spaces, and the start of a special token.
+    ODD_ASCII = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
-    def _new(self, word: str) -> bytes:
-        if len(self.known) >= WORDS:
-            self.known.clear()
-        return self.known.setdefault(word, self._whole(word))
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [_packed(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _words(self, text: str) -> list[str] | None:
+        if any(x in text for x in self.ODD_ASCII):
+            return None
+        if text.isascii():
+            return self.ASCII.findall(text.lower())
+        return None if self.ODD.search(text) else self.LATIN.findall(text.lower())
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        if self.ODD.search(text):
-            return self._whole(text)
-        low, known = text.lower(), self.known
-        words = (self.ASCII if low.isascii() else self.WIDE).findall(low)
-        return b"".join([known.get(w) or self._new(w) for w in words])
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        if len(self.known) >= WORDS:
+            self.known.clear()
+        known, split = self.known, [self._words(t) for t in texts]
+        if new := list({w for words in split if words is not None for w in words if w not in known}):
+            known.update(zip(new, self._ids(new), strict=True))
+        look = known.__getitem__
+        return [self._ids([t])[0] if words is None else b"".join(map(look, words)) for t, words in zip(texts, split, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -85,12 +100,13 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, step = encoder(path).encode, 4 * length
-        end = np.array([END_ID], "<u4").tobytes()
+        end = _packed([END_ID])
         for part in parts:
-            rows = []
-            for doc_id, text in zip(part["doc_id"].astype("Int64"), part["text"], strict=True):
-                ids = encode(text or "") + end
-                rows += [(doc_id, k // 4, len(x) // 4, zlib.crc32(x), len(ids) // 4) for k in range(0, len(ids), step) if (x := ids[k : k + step])]
+            rows, ids_of, texts = [], part["doc_id"].astype("Int64").tolist(), [t or "" for t in part["text"]]
+            for k in range(0, len(texts), TOGETHER):
+                for doc_id, ids in zip(ids_of[k:], encode(texts[k : k + TOGETHER]), strict=False):
+                    ids += end
+                    rows += [(doc_id, b // 4, len(x) // 4, zlib.crc32(x), len(ids) // 4) for b in range(0, len(ids), step) if (x := ids[b : b + step])]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
 
     return docs.select("doc_id", "text").mapInPandas(cut, PIECE)
