@@ -87,7 +87,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
     A classifier of positive against unlabelled, fitted on one half, ranks the other half. Below any cut the
     unlabelled hold at least the positives' share, so prior <= U(s > t) / P(s > t) for each t; the least of
-    these bounds, with an allowance for sampling, is the estimate (Blanchard et al., 2010).
+    these bounds, each with half its standard error, is the estimate (Blanchard et al., 2010).
     """
     p1, p2, u1, u2 = positive[::2], positive[1::2], unlabelled[::2], unlabelled[1::2]
     if min(map(len, (p1, p2, u1, u2))) < 5:
@@ -96,8 +96,9 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     sp, su = np.sort(p2 @ w), np.sort(u2 @ w)
     cuts = np.quantile(sp, np.linspace(0, 0.8, 81))
     tail = lambda s: 1 - np.searchsorted(s, cuts, "left") / len(s)
-    slack = 0.5 * (1 / np.sqrt(len(sp)) + 1 / np.sqrt(len(su)))
-    return float(np.clip(np.min((tail(su) + slack) / np.maximum(tail(sp), 0.05)), 0.05, 0.98))
+    half_error = lambda t, n: 0.5 * np.sqrt(t * (1 - t) / n)
+    tp, tu = tail(sp), tail(su)
+    return float(np.clip(np.min((tu + half_error(tu, len(su))) / np.maximum(tp - half_error(tp, len(sp)), 0.05)), 0.05, 0.98))
 
 
 @dataclass(frozen=True)
