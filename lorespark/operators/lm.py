@@ -31,14 +31,14 @@ def char_vocab(rows: DataFrame, text: str) -> DataFrame:
 def char_encode(rows: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
     """key, ids; unknown characters are 1. The vocabulary is joined by character, ids return in order."""
     chars = rows.select(key, F.posexplode(F.filter(F.split(text, ""), lambda c: c != "")).alias("n", "char"))
-    found = chars.join(vocab, "char", "left")
-    return found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.coalesce("id", F.lit(1)).alias("id")))), lambda x: x["id"]).alias("ids"))
+    found = chars.join(vocab.withColumnRenamed("id", "_id"), "char", "left")
+    return found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.coalesce("_id", F.lit(1)).alias("_id")))), lambda x: x["_id"]).alias("ids"))
 
 
 def char_decode(rows: DataFrame, key: str, ids: str, vocab: DataFrame) -> DataFrame:
     """key, text; special ids are left out, unknown ones become `?`."""
-    flat = rows.select(key, F.posexplode(ids).alias("n", "id")).filter(F.col("id").isin(0, 2, 3) == F.lit(False))
-    found = flat.join(vocab, "id", "left")
+    flat = rows.select(key, F.posexplode(ids).alias("n", "_id")).filter(~F.col("_id").isin(0, 2, 3))
+    found = flat.join(vocab.withColumnRenamed("id", "_id"), "_id", "left")
     return found.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.coalesce("char", F.lit("?")).alias("char")))), lambda x: x["char"]), "").alias("text"))
 
 
