@@ -2,8 +2,8 @@
 
 Every string of LENGTH bytes that starts at two places at least is repeated, and its bytes go everywhere. Not
 all suffixes are sorted: of every LENGTH bytes the place of the least hash among their windows of GRAM bytes is
-an anchor, so equal strings have an anchor at the same offset, and suffixes at anchors suffice. Anchors whose
-window occurs once are dropped by count. The others meet by window: their suffixes, and the reversed bytes
+an anchor, so equal strings have an anchor at the same offset, and suffixes at anchors suffice. An anchor's
+context is what the strings that chose it span. Anchors whose window occurs once are dropped by count. The others meet by window: their suffixes, and the reversed bytes
 before them, are each put in order by the deep-shallow method (Manzini and Ferragina, 2004): multikey quicksort
 to a shallow depth, and blind tries for what is still equal there. From the orders with their common prefix
 lengths follows how far each place agrees with any other to both sides.
@@ -28,14 +28,12 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, documents, materialize, prepare
 
 LENGTH, GRAM = 400, 64
-#: Bytes of context before an anchor.
-BEFORE = LENGTH - GRAM
 #: Multikey quicksort goes so deep, blind tries deeper.
 SHALLOW = 24
 #: Texts are searched for anchors in parts of this size.
 PART = 1 << 22
 #: Anchors of one window that a task takes; more of them are compared string by string in many tasks.
-GROUP = 50_000
+GROUP = 100_000
 
 U = np.uint64
 ODD = 0x9E3779B97F4A7C15 | 1
@@ -77,22 +75,34 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the least window hash (the leftmost, if equal) in each LENGTH bytes, and the hashes there."""
-    width = LENGTH - GRAM + 1
-    places, hashes = [], []
+def anchors(text: bytes) -> list[tuple[int, int, int, int, int]]:
+    """(hash, place, first, last, high): the strings that start from first to last have their anchor at place.
+
+    That is where the window hash is least among theirs (the leftmost, if equal). Within a periodic run,
+    neighbours of equal contexts are equal strings over and over: one row stands for all, and high is the end
+    of what they cover, else 0.
+    """
+    width, mask = LENGTH - GRAM + 1, U(0x7FFFFF)
+    found: list[tuple[int, int, int, int]] = []
     for start in range(0, max(0, len(text) - LENGTH + 1), PART):
         h = _window_hashes(np.frombuffer(text[start : start + PART + LENGTH - 1], np.uint8))
-        keyed = (h & ~U(0x7FFFFF)) | np.arange(len(h), dtype=U)
-        least = _sliding_min(keyed, width)
-        at = (least & U(0x7FFFFF)).astype(np.int64)
-        at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-        places.append(at + start)
-        hashes.append(h[at])
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at, first = np.unique(np.concatenate(places), return_index=True)
-    return at, np.concatenate(hashes)[first].astype(np.int64)
+        at = (_sliding_min((h & ~mask) | np.arange(len(h), dtype=U), width) & mask).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        last = np.concatenate([first[1:] - 1, [len(at) - 1]])
+        at = at[first]
+        found += zip(h[at].astype(np.int64).tolist(), (at + start).tolist(), (first + start).tolist(), (last + start).tolist(), strict=True)
+    out: list[tuple[int, int, int, int, int]] = []
+    for h, place, first, last in found:
+        if out:
+            ph, pp, pf, pl, high = out[-1]
+            if ph == h and pp == place:  # a context that two parts share
+                out[-1] = (h, place, min(pf, first), max(pl, last), high)
+                continue
+            if ph == h and place - first == pp - pf and last - first == pl - pf and text[first : last + LENGTH] == text[pf : pl + LENGTH] and first <= (high or pl + LENGTH):
+                out[-1] = (ph, pp, pf, pl, last + LENGTH)
+                continue
+        out.append((h, place, first, last, 0))
+    return out
 
 
 # ---------------------------------------------------------------- deep-shallow order
@@ -200,6 +210,8 @@ def _covered(before: list[bytes], after: list[bytes]) -> list[tuple[int, int]]:
     string if l + r >= LENGTH, and then all l + r bytes are covered.
     """
     n = len(after)
+    if n == 1:
+        return [(0, 0)]
     if n == 2:
         l, r = common_prefix(*before), common_prefix(*after)
         return [(l, r)] * 2 if l + r >= LENGTH else [(0, 0)] * 2
@@ -214,8 +226,8 @@ def _covered(before: list[bytes], after: list[bytes]) -> list[tuple[int, int]]:
     left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
     # A string with j bytes left of the anchor is repeated where two places are equal on j bytes to the left
     # and LENGTH - j to the right. Only j at which either order splits anew can change the classes.
-    steps = np.unique(np.concatenate([[0, BEFORE], lcps[0], lcps[0] + 1, LENGTH - lcps[1], LENGTH - lcps[1] - 1]))
-    for j in steps[(steps >= 0) & (steps <= BEFORE)]:
+    steps = np.unique(np.concatenate([[0, LENGTH - GRAM], lcps[0], lcps[0] + 1, LENGTH - lcps[1], LENGTH - lcps[1] - 1]))
+    for j in steps[(steps >= 0) & (steps <= max(map(len, before)))]:
         l_class = np.cumsum(lcps[0] < j)[ranks[0]]
         r_class = np.cumsum(lcps[1] < LENGTH - j)[ranks[1]]
         _, inverse, count = np.unique(l_class * (n + 1) + r_class, return_inverse=True, return_counts=True)
@@ -228,31 +240,53 @@ def _covered(before: list[bytes], after: list[bytes]) -> list[tuple[int, int]]:
 # ---------------------------------------------------------------- tasks
 
 
+CONTEXT = "h long, m long, digest binary, place long, high long, before binary, after binary"
+ANCHOR = "h long, digest binary, place int, first int, last int, high int"
+#: Rows a task hands on at a time.
+ROWS = 4096
+
+
 def _scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Anchors of each text: window hash, text digest and place. A task's further copies of a text are skipped."""
+    """Anchors of each text with its digest. A task's further copies of a text are skipped."""
     seen: set[bytes] = set()
     for part in parts:
-        hashes, digests, places = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)]
+        rows: list[tuple] = []
         for digest, text in zip(part["digest"], part["text"], strict=True):
             if digest not in seen:
                 seen.add(digest)
-                at, h = anchors(text)
-                hashes.append(h)
-                places.append(at)
-                digests += [digest] * len(at)
-        yield pd.DataFrame({"h": np.concatenate(hashes), "digest": digests, "place": np.concatenate(places)})
+                rows += [(a[0], digest, *a[1:]) for a in anchors(text)]
+            if len(rows) >= ROWS:
+                yield pd.DataFrame(rows, columns=["h", "digest", "place", "first", "last", "high"])
+                rows = []
+        yield pd.DataFrame(rows, columns=["h", "digest", "place", "first", "last", "high"])
 
 
 def _contexts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Bytes before (reversed) and after each wanted anchor of each text."""
+    names = ["h", "m", "digest", "place", "high", "before", "after"]
     for part in parts:
         rows = []
         for digest, packed, marks in zip(part["digest"], part["packed"], part["marks"], strict=True):
             text = zstandard.decompress(packed)
-            for m in marks:
-                p = m["place"]
-                rows.append((m["h"], m["m"], digest, p, text[max(0, p - BEFORE) : p][::-1], text[p : p + LENGTH]))
-        yield pd.DataFrame(rows, columns=["h", "m", "digest", "place", "before", "after"])
+            for a in marks:
+                p, first = a["place"], a["first"]
+                rows.append((a["h"], a["m"], digest, p, a["high"], text[first:p][::-1], text[p : a["last"] + LENGTH]))
+            if len(rows) >= ROWS:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+        yield pd.DataFrame(rows, columns=names)
+
+
+def _covered_by_group(before: list[bytes], after: list[bytes]) -> list[tuple[int, int]]:
+    """_covered, with equal contexts compared once: they repeat each other in full."""
+    where: dict[tuple[bytes, bytes], list[int]] = {}
+    for k, context in enumerate(zip(before, after, strict=True)):
+        where.setdefault(context, []).append(k)
+    out = [(0, 0)] * len(before)
+    for (b, a), members, found in zip(where, where.values(), _covered([x for x, _ in where], [x for _, x in where]), strict=True):
+        for k in members:
+            out[k] = (len(b), len(a)) if len(members) > 1 else found
+    return out
 
 
 def _grouped(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,18 +295,18 @@ def _grouped(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows: list[tuple] = []
 
     def close() -> None:
-        if len(held) > 1:
-            for (_, digest, place, *_), (l, r) in zip(held, _covered([x[3] for x in held], [x[4] for x in held]), strict=True):
-                if r:
-                    rows.append((digest, place - l, place + r))
+        for (_, digest, place, high, before, _), (l, r) in zip(held, _covered_by_group([x[4] for x in held], [x[5] for x in held]), strict=True):
+            if high or r:
+                low = place - len(before) if high else place - l
+                rows.append((digest, low, max(high, place + r)))
         held.clear()
 
     for part in parts:
-        for row in zip(part["h"], part["digest"], part["place"], part["before"], part["after"], strict=True):
+        for row in zip(part["h"], part["digest"], part["place"], part["high"], part["before"], part["after"], strict=True):
             if held and held[0][0] != row[0]:
                 close()
             held.append(row)
-        if len(rows) > 10_000:
+        if len(rows) > ROWS:
             yield pd.DataFrame(rows, columns=["digest", "low", "high"])
             rows.clear()
     close()
@@ -280,13 +314,12 @@ def _grouped(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _strings(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Every LENGTH-byte string through the anchor as a 128-bit code, for windows of very many places."""
+    """Every string of each context as a 128-bit code, for windows of very many places."""
     for part in parts:
-        for digest, place, before, after in zip(part["digest"], part["place"], part["before"], part["after"], strict=True):
-            near, back = before[::-1] + after, len(before)
-            lows = range(0, min(back, len(near) - LENGTH) + 1)
-            codes = [hashlib.blake2b(near[k : k + LENGTH], digest_size=16).digest() for k in lows]
-            yield pd.DataFrame({"code": codes, "digest": [digest] * len(codes), "low": [place - back + k for k in lows]})
+        for digest, place, high, before, after in zip(part["digest"], part["place"], part["high"], part["before"], part["after"], strict=True):
+            near, low = before[::-1] + after, place - len(before)
+            codes = [hashlib.blake2b(near[k : k + LENGTH], digest_size=16).digest() for k in range(len(near) - LENGTH + 1)]
+            yield pd.DataFrame({"code": codes, "digest": [digest] * len(codes), "low": [low + k for k in range(len(codes))], "high": high})
 
 
 def _merged(spans: list) -> list[list[int]]:
@@ -309,6 +342,9 @@ def _removed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 at = high
             kept.update(text[at:])
             rows.append((digest, sum(b - a for a, b in runs), len(runs), kept.hexdigest(), [{"low": a, "high": b} for a, b in runs]))
+            if len(rows) >= ROWS:
+                yield pd.DataFrame(rows, columns=["digest", "n_removed", "n_spans", "kept_sha256", "runs"])
+                rows = []
         yield pd.DataFrame(rows, columns=["digest", "n_removed", "n_spans", "kept_sha256", "runs"])
 
 
@@ -331,21 +367,22 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, group: int = GROUP) ->
     copies = materialize(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("key")), "copies")
 
     long_ = raw.filter(F.octet_length("text") >= LENGTH)
-    found = materialize(long_.select("digest", "text").mapInPandas(_scan, "h long, digest binary, place long"), "anchors")
+    found = materialize(long_.select("digest", "text").mapInPandas(_scan, ANCHOR), "anchors")
     # A window that only one place of one text has, in however many copies, is not repeated.
     where = F.xxhash64("digest", "place")
-    counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min(where).alias("a"), F.max(where).alias("b")).filter("a <> b").select("h", "m")
+    counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min(where).alias("a"), F.max(where).alias("b"), F.max("high").alias("high")).filter("a <> b OR high > 0").select("h", "m")
     counts = materialize(counts, "windows")
-    marks = found.join(counts, "h").groupBy("digest").agg(F.collect_set(F.struct("h", "m", "place")).alias("marks")).join(copies.select("digest", "key"), "digest")
+    marks = found.join(counts, "h").groupBy("digest").agg(F.collect_set(F.struct("h", "m", "place", "first", "last", "high")).alias("marks")).join(copies.select("digest", "key"), "digest")
     # The texts that hold such anchors, once each and compressed, are all that moves from here on.
     held = materialize(long_.select("key", "digest", _packer()("text").alias("packed")).join(marks, ["digest", "key"]).select("digest", "packed", "marks"), "marked-texts")
 
-    near = held.mapInPandas(_contexts, "h long, m long, digest binary, place long, before binary, after binary")
+    near = held.mapInPandas(_contexts, CONTEXT)
     spans = near.filter(F.col("m") <= group).drop("m").repartition("h").sortWithinPartitions("h", "digest", "place").mapInPandas(_grouped, "digest binary, low long, high long")
     if not counts.filter(F.col("m") > group).isEmpty():
-        strings = near.filter(F.col("m") > group).mapInPandas(_strings, "code binary, digest binary, low long").distinct()
+        strings = near.filter(F.col("m") > group).mapInPandas(_strings, "code binary, digest binary, low long, high long").distinct()
         twice = strings.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        spans = spans.unionByName(strings.join(twice, "code").select("digest", "low", (F.col("low") + LENGTH).alias("high")))
+        spans = spans.unionByName(strings.join(twice, "code", "left_semi").select("digest", "low", (F.col("low") + LENGTH).alias("high")))
+        spans = spans.unionByName(strings.filter("high > 0").select("digest", "low", "high"))
     spans = materialize(spans, "spans").groupBy("digest").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     out = held.select("digest", "packed").join(spans, "digest").mapInPandas(
         _removed, "digest binary, n_removed long, n_spans long, kept_sha256 string, runs array<struct<low:long,high:long>>"
