@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import search_tokens
+from ..session import prepare
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -93,16 +96,41 @@ def normalise(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id, score: cosine of every question (query_id, vec) with every vector (id, vec).
+#: Vectors and questions compared at a time.
+VECTOR_BLOCK, QUERY_BLOCK = 20_000, 2_000
 
-    A stated set of questions against all rows: each task holds all questions, as one array of at most
-    the batch's size, and turns its own rows into one row per question.
+
+def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, id, score, rank: the k nearest vectors (id, vec) of every question (query_id, vec) by cosine.
+
+    All questions meet all vectors, in blocks: a task multiplies one block of each and keeps its k best, so no
+    side is sent whole and no pair becomes a row. Null vectors are left out, zero vectors score 0.
     """
-    q = queries.select(F.struct("query_id", normalise(F.col("vec")).alias("vec")).alias("q")).agg(F.collect_list("q").alias("qs"))
-    rows = vectors.select("id", normalise(F.col("vec")).alias("vec")).join(F.broadcast(q)).select("id", "vec", F.explode("qs").alias("q"))
-    dot = F.aggregate(F.zip_with("vec", F.col("q.vec"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return rows.select(F.col("q.query_id").alias("query_id"), "id", dot.alias("score"))
+    prepare(vectors.sparkSession)
+    vectors = vectors.filter("vec IS NOT NULL").select("id", F.col("vec").cast("array<double>").alias("vec"))
+    queries = queries.filter("vec IS NOT NULL").select("query_id", F.col("vec").cast("array<double>").alias("vec"))
+    many_v, many_q = 1 + vectors.count() // VECTOR_BLOCK, 1 + queries.count() // QUERY_BLOCK
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.withColumn("v", F.pmod(F.xxhash64("id"), F.lit(many_v)).cast("int")).withColumn("q", each(many_q))
+    right = queries.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(many_q)).cast("int")).withColumn("v", each(many_v))
+
+    def unit(column: pd.Series) -> np.ndarray:
+        x = np.array(column.tolist(), float)
+        norm = np.sqrt((x * x).sum(1, keepdims=True))
+        return x / np.where(norm == 0, 1, norm)
+
+    def nearest(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or asked.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        rows = rows.sort_values("id", ignore_index=True)
+        ids, scores = rows["id"].to_numpy(), unit(asked["vec"]) @ unit(rows["vec"]).T
+        best = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
+        at = np.arange(len(asked))[:, None]
+        return pd.DataFrame({"query_id": np.repeat(asked["query_id"].to_numpy(), best.shape[1]), "id": ids[best].ravel(), "score": scores[at, best].ravel()})
+
+    kinds = {f.name: f.dataType.simpleString() for f in (vectors.schema["id"], queries.schema["query_id"])}
+    found = left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInPandas(nearest, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+    return top_k(found, "query_id", "id", k)
 
 
 def hashed_vectors(rows: DataFrame, id_: str, text: str, dimension: int = 64) -> DataFrame:

@@ -83,10 +83,12 @@ def test_threshold_and_metrics(spark):
     assert (m.mrr, m.recall_at_1, m.recall_at_3, m.unanswerable_recall) == (0.5, 0.0, 1.0, 1.0)
 
 
-def test_zero_vectors_and_empty_index(spark):
-    v = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0])], "id long, vec array<float>")
-    got = {(r.query_id, r.id): round(r.score, 6) for r in retrieval.dense_scores(v, v.withColumnRenamed("id", "query_id")).collect()}
-    assert got == {(1, 1): 0.0, (1, 2): 0.0, (2, 1): 0.0, (2, 2): 1.0}
+def test_zero_vectors_and_empty_index(spark, monkeypatch):
+    v = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0]), (3, None)], "id long, vec array<float>")
+    for block in (20_000, 1):
+        monkeypatch.setattr(retrieval, "VECTOR_BLOCK", block)
+        got = {(r.query_id, r.id): (round(r.score, 6), r.rank) for r in retrieval.dense_search(v, v.withColumnRenamed("id", "query_id")).collect()}
+        assert got == {(1, 1): (0.0, 1), (1, 2): (0.0, 2), (2, 1): (0.0, 2), (2, 2): (1.0, 1)}
     none = spark.createDataFrame([], "doc_id long, text string")
     assert retrieval.bm25_search(none, none.withColumnRenamed("doc_id", "item_id"), ("doc_id", "text"), ("item_id", "text")).count() == 0
 
