@@ -16,6 +16,8 @@ columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,8 +29,13 @@ TERM = r"[\p{L}\p{N}_]+"
 #: The band of ln(N / df). Its upper end bounds the lexicon: terms in at least N / e^7 documents number at most
 #: e^7 (about 1,100) times the mean number of distinct terms of a document, whatever N is.
 LOW_IDF, HIGH_IDF = 1.0, 7.0
-#: Random subsets of the lexicon; the k-th keeps a term with chance 2 ** -LEVELS[k mod 8].
-SUBSETS, LEVELS = 32, (0, 4, 5, 6, 7, 7, 8, 8)
+#: Random subsets of the lexicon; the k-th keeps a term with chance 2 ** -LEVELS[k].
+LEVELS = (0, 2, 4, 4, 5, 5, 6, 6, 7, 7, 7, 7, 7, 7, 8, 8, 8, 8, 8, 8, 9, 9, 9, 9)
+SUBSETS = len(LEVELS)
+#: Spark's hash of an empty array: a subset that keeps nothing.
+NONE = 42
+#: Subsets of such a level are thin; so many in use suffice.
+THIN, LEAST_THIN = 7, 4
 #: Lexicon entries sent to every task; a larger lexicon is joined by shuffle.
 SENT_TERMS = 1_000_000
 #: Ranges of ids: documents of one range are ordered in one task.
@@ -46,29 +53,30 @@ def lexicon(docs: DataFrame) -> DataFrame:
     counts = docs.select(F.explode(terms(text_or_empty())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     band = counts.filter((F.col("df") >= n * math.exp(-HIGH_IDF)) & (F.col("df") <= n * math.exp(-LOW_IDF)))
     mask = F.lit(0).cast("long")
-    for k in range(SUBSETS):
-        level = LEVELS[k % len(LEVELS)]
+    for k, level in enumerate(LEVELS):
         mask = mask + F.when(F.pmod(F.xxhash64("term", F.lit(k)), F.lit(1 << level)) == 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
     return materialize(band.select("term", mask.alias("mask")), "lexicon")
 
 
-def _hashes(kept: Column, text: Column) -> Column:
-    """One hash for each subset over the sorted distinct terms that it keeps; 0 where it keeps none."""
-    def one(k: int) -> Column:
-        own = F.transform(F.filter(kept, lambda t: t["mask"].bitwiseAND(F.lit(1 << k).cast("long")) != 0), lambda t: t["term"])
-        return F.when(F.size(own) > 0, F.xxhash64(own)).otherwise(F.lit(0).cast("long"))
-
+def _hashes(kept: str, text: Column) -> Column:
+    """One hash for each subset over the sorted distinct terms that it keeps (with their masks); NONE where it keeps none."""
+    own = lambda k: F.xxhash64(F.filter(kept, lambda t: t["mask"].bitwiseAND(F.lit(1 << k).cast("long")) != 0))
     whole = F.array(*[F.xxhash64(text, F.lit(-1 - k)) for k in range(SUBSETS)])
-    return F.when(F.size(kept) > 0, F.array(*[one(k) for k in range(SUBSETS)])).otherwise(whole)
+    return F.when(F.size(kept) > 0, F.array(*map(own, range(SUBSETS)))).otherwise(whole)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among the subsets that keep a term of either text."""
-    both = F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), F.lit(None)).otherwise((x == y).cast("int")))
-    used = F.filter(both, lambda x: x.isNotNull())
-    total = F.size(used)
-    same = F.size(F.filter(used, lambda x: x == 1))
-    return F.when(total > 0, same / total).otherwise((a == b).cast("double"))
+    """Share of equal hashes among the subsets that keep a term of either text.
+
+    Of thin subsets, if enough are in use: they keep a term or two, so that their share estimates the overlap
+    of the two texts' terms; thick ones tell near-replicas only.
+    """
+    both = F.zip_with(a, b, lambda x, y: F.when((x == NONE) & (y == NONE), F.lit(None)).otherwise((x == y).cast("int")))
+    used = lambda xs: F.filter(xs, lambda x: x.isNotNull())
+    thin = used(F.filter(both, lambda _, i: i >= LEVELS.index(THIN)))
+    pick = F.when(F.size(thin) >= LEAST_THIN, thin).otherwise(used(both))
+    total, same = F.size(pick), F.size(F.filter(pick, lambda x: x == 1))
+    return F.when((total == 0) | (a == b), (a == b).cast("double")).otherwise(same / total)
 
 
 def ordered(docs: DataFrame) -> DataFrame:
@@ -87,9 +95,21 @@ def ordered(docs: DataFrame) -> DataFrame:
     return keyed.withColumn("range", -(F.col("step") * side + F.size(F.filter(F.get(fine, F.col("step")), below)))).drop("step")
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """rows with next_<column> of the following row by range, key descending and sha; after the last the first."""
-    order = Window.partitionBy("range").orderBy(F.col("key").desc(), "sha")
+@contextmanager
+def _co_partitioned(spark: SparkSession) -> Iterator[None]:
+    """Joins on (range, nth) of sides that are both partitioned by range stay where they are."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def with_next(rows: DataFrame, columns: list[str], *by: Column) -> DataFrame:
+    """rows with nth and next_<column> of the following row by range and `by`; after the last row the first follows."""
+    order = Window.partitionBy("range").orderBy(*by)
     firsts = Window.orderBy("range")
     # The last row of a range is followed by the first of the next range that has any: a row for each range.
     head = rows.withColumn("n", F.row_number().over(order)).filter("n = 1").select("range", *columns)
@@ -98,7 +118,7 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     after = head.select("range", *[F.coalesce(F.lead(c).over(firsts), first[c]).alias(f"after_{c}") for c in columns])
     led = rows.withColumns({f"lead_{c}": F.lead(c).over(order) for c in columns}).withColumn("nth", F.row_number().over(order))
     return led.join(after, "range").select(
-        *rows.columns, "nth", *[F.coalesce(f"lead_{c}", f"after_{c}").alias(f"next_{c}") for c in columns]
+        *[c for c in rows.columns if c != "nth"], "nth", *[F.coalesce(f"lead_{c}", f"after_{c}").alias(f"next_{c}") for c in columns]
     )
 
 
@@ -108,24 +128,26 @@ def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     words = lexicon(docs)
     small = words.count() <= SENT_TERMS
     rows = ordered(docs).withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
-    pairs = with_next(rows, ["text"]).withColumn("n_chars", F.length("text").cast("long"))
+    pairs = with_next(rows, ["text"], F.col("key").desc(), F.col("sha")).withColumn("n_chars", F.length("text").cast("long"))
     edited = F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 2) as int))"), F.expr("left(next_text, cast(floor(n_chars / 2) as int))"))
-    pairs = pairs.withColumn("edited", edited).withColumn("uid", F.struct("range", "nth"))
+    pairs = pairs.withColumn("edited", edited)
     about = pairs.select(
-        "uid", "range", "key", "doc_id", "sha", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "range", "nth", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         F.xxhash64("text").alias("code"), F.xxhash64("edited").alias("edited_code"),
     )
-    # Exploded rows carry numbers only; a document's rows are of one task, so that they are gathered before the shuffle.
+    # Exploded rows carry numbers only. A range's documents are in one task already, and so are their terms:
+    # gathering them and meeting the rest of the row again needs no shuffle.
     variant = lambda flag, text: F.struct(F.lit(flag).alias("is_edited"), terms(F.col(text)).alias("terms"))
-    both = pairs.select("uid", F.explode(F.array(variant(False, "text"), variant(True, "edited"))).alias("v")).select("uid", "v.is_edited", F.explode("v.terms").alias("term"))
-    kept = both.join(F.broadcast(words) if small else words, "term").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("term", "mask", "is_edited"))).alias("kept"))
-    one = about.join(kept, "uid", "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<struct<term:bigint,mask:bigint,is_edited:boolean>>")))
-    one = one.withColumns({
-        "fingerprint": _hashes(F.filter("kept", lambda t: ~t["is_edited"]), F.col("code")),
-        "edited_fingerprint": _hashes(F.filter("kept", lambda t: t["is_edited"]), F.col("edited_code")),
-    })
-    one = materialize(one.select("range", "key", "doc_id", "sha", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"), "fingerprints")
-    out = with_next(one, ["fingerprint"])
+    both = pairs.select("range", "nth", F.explode(F.array(variant(False, "text"), variant(True, "edited"))).alias("v")).select("range", "nth", "v.is_edited", F.explode("v.terms").alias("term"))
+    found = both.join(F.broadcast(words) if small else words, "term")
+    side = lambda edited: F.array_sort(F.collect_list(F.when(F.col("is_edited") == edited, F.struct("term", "mask"))))
+    kept = found.groupBy("range", "nth").agg(side(False).alias("kept"), side(True).alias("edited_kept"))
+    none = F.array().cast("array<struct<term:bigint,mask:bigint>>")
+    one = about.join(kept, ["range", "nth"], "left").withColumns({c: F.coalesce(c, none) for c in ("kept", "edited_kept")})
+    one = one.withColumns({"fingerprint": _hashes("kept", F.col("code")), "edited_fingerprint": _hashes("edited_kept", F.col("edited_code"))})
+    with _co_partitioned(spark):
+        one = materialize(one.select("range", "nth", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"), "fingerprints")
+    out = with_next(one, ["fingerprint"], F.col("nth"))
     return out.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
