@@ -138,7 +138,7 @@ def learn(docs: DataFrame) -> LanguageModel:
     picked = open_.select("doc_id", h.alias("h")).orderBy("h", "doc_id").limit(SAMPLE).select("doc_id").distinct()
     rows = open_.withColumn("h", h).join(F.broadcast(picked), "doc_id").mapInPandas(_counted, "h long, lang string, ids array<int>, counts array<int>").toPandas()
     rows = rows.sort_values(["h", "lang"], kind="stable")
-    data = [(np.asarray(i), np.asarray(c), y) for i, c, y in zip(rows["ids"], rows["counts"], rows["lang"], strict=True)]
+    data = [(np.asarray(i, np.int64), np.asarray(c, np.int64), y) for i, c, y in zip(rows["ids"], rows["counts"], rows["lang"], strict=True)]
     return fit(sorted(set(rows["lang"])), idf, data)
 
 
