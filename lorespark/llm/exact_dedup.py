@@ -8,7 +8,6 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,13 +15,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents, materialize, prepare, text_or_empty
+from .common import ascii_lower, documents, fresh, materialize, prepare, text_or_empty
 from .fuse import FuseFilter
+from .screens import sent_filter
 
 #: Digests in one filter; the number of shards follows the snapshot, a shard's size does not.
 SHARD_KEYS = 200_000
-#: Filter bytes that may be sent to every task; beyond this the byte check shuffles unscreened rows instead.
-SENT_BYTES = 32 << 20
 
 FILTER = "shard int, seed long, segment long, starts long, payload binary"
 
@@ -96,23 +94,6 @@ def merged(frozen: Snapshot, batch: DataFrame) -> DataFrame:
     return known.unionByName(fresh.select("digest", "keep", "n"))
 
 
-def _sent(filters: list) -> Column:
-    """A Column function: may this digest be in the filters? They are at most SENT_BYTES together."""
-    table = {int(r.shard): FuseFilter(int(r.seed), int(r.segment), int(r.starts), bytes(r.payload)) for r in filters}
-
-    @F.pandas_udf("boolean")
-    def may_hold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        for part in parts:
-            keys, out = _keys(part["digest"]), np.zeros(len(part), bool)
-            for shard in part["shard"].unique():
-                at = (part["shard"] == shard).to_numpy()
-                if shard in table:
-                    out[at] = table[shard].contains(keys[at])
-            yield pd.Series(out)
-
-    return may_hold
-
-
 def byte_checked(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """Digests of groups of two rows and more, with the number of byte-different texts behind each.
 
@@ -121,12 +102,9 @@ def byte_checked(docs: DataFrame, groups: DataFrame) -> DataFrame:
     while that filter is small; a larger one is not sent, and the semi join alone drops them.
     """
     repeated = groups.filter("n > 1").select("digest")
-    n = repeated.count()
-    shards = 1 + n // SHARD_KEYS
     texts = docs.select(F.unhex(F.sha2(normalised().cast("binary"), 256)).alias("digest"), normalised().alias("norm"))
-    if n * 2 <= SENT_BYTES:  # a key takes under two bytes
-        may_hold = _sent(fuse_filters(repeated, shards).collect())
-        texts = texts.filter(may_hold(F.struct("digest", _shard(shards))))
+    if may_hold := sent_filter(repeated.select(F.xxhash64("digest").alias("k"))):
+        texts = texts.filter(may_hold(F.xxhash64("digest")))
     texts = texts.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("rows"))
     return texts.join(repeated, "digest", "left_semi").groupBy("digest").agg(F.count(F.lit(1)).alias("variants"), F.sum("rows").alias("checked"))
 
@@ -163,9 +141,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, is_new: Column | None = No
 
 def kept_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with their columns."""
-    stored = materialize(docs.withColumn("_uid", F.monotonically_increasing_id()), "dedup-input")
-    dropped = exact_dedup(spark, stored, uid=F.col("_uid")).filter(~F.col("kept")).select(F.col("uid").alias("_uid"))
-    return stored.join(dropped, "_uid", "left_anti").select(*docs.columns)
+    uid = fresh(docs, "uid")
+    stored = materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "dedup-input")
+    dropped = exact_dedup(spark, stored, uid=F.col(uid)).filter(~F.col("kept")).select(F.col("uid").alias(uid))
+    return stored.join(dropped, uid, "left_anti").select(*docs.columns)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

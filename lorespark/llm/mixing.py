@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, text_or_empty
+from .common import documents, fresh, materialize, text_or_empty
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -95,10 +95,10 @@ def copies(docs: DataFrame, uid: Column | None = None) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """docs with each row as often as its copies say; rows of no copy are left out. Columns stay those of docs."""
-    kept = materialize(docs.withColumn("_uid", F.monotonically_increasing_id()), "mix-input")
-    many = copies(kept, F.col("_uid")).select(F.col("uid").alias("_uid"), F.col("copies").alias("_copies")).filter("_copies > 0")
-    rows = kept.join(many, "_uid")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    uid, times, nth = fresh(docs, "uid"), fresh(docs, "times"), fresh(docs, "nth")
+    kept = materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "mix-input")
+    many = copies(kept, F.col(uid)).filter("copies > 0").select(F.col("uid").alias(uid), F.col("copies").cast("int").alias(times))
+    return kept.join(many, uid).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
