@@ -16,21 +16,19 @@ import re
 import struct
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, prepare
+from .common import NULL_ID, documents, materialize, prepare
 
 LENGTH = 2048
 END_ID = 1
 #: Words a worker remembers; the memory is cleared when it is full.
 WORDS = 1_200_000
-#: Texts encoded together.
-TOGETHER = 64
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SLOT = "length long, low long, high long, first_sequence long, offset long"
@@ -47,6 +45,17 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class _Memory(dict):
+    """Ids by word; what is missing is asked for once."""
+
+    def __init__(self, ask: Callable[[str], bytes]) -> None:
+        self.ask = ask
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = self.ask(word)
+        return ids
+
+
 class WordEncoder:
     """Ids of texts, word by word with a memory; the same ids as Tokenizer.encode gives for the whole text.
 
@@ -54,9 +63,9 @@ class WordEncoder:
     Python's and the file's normalisers might differ go through the tokenizer as a whole.
     """
 
-    ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+    ASCII = re.compile(r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9]+")
     #: The same for letters and numbers of Latin scripts, which ODD lets pass.
-    LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼-¾]|[^\sa-z0-9ªµºÀ-ÖØ-öø-ɏ²³¹¼-¾]+")
+    LATIN = re.compile(r"[a-zªµºÀ-ÖØ-öø-ɏ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼-¾]|[^\sa-z0-9ªµºÀ-ÖØ-öø-ɏ²³¹¼-¾]+")
     ODD = re.compile("[\x7f-\xa0İ]|[^\x00-ɏ‐-‧‰-⁞]")
     #: Of ASCII: control characters that only Python has for spaces, and the start of a special token.
     ODD_ASCII = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
@@ -66,10 +75,10 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known = _Memory(self._whole)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [_packed(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _words(self, text: str) -> list[str] | None:
         if any(x in text for x in self.ODD_ASCII):
@@ -78,15 +87,12 @@ class WordEncoder:
             return self.ASCII.findall(text.lower())
         return None if self.ODD.search(text) else self.LATIN.findall(text.lower())
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian 32-bit integers."""
         if len(self.known) >= WORDS:
             self.known.clear()
-        known, split = self.known, [self._words(t) for t in texts]
-        if new := list({w for words in split if words is not None for w in words if w not in known}):
-            known.update(zip(new, self._ids(new), strict=True))
-        look = known.__getitem__
-        return [self._ids([t])[0] if words is None else b"".join(map(look, words)) for t, words in zip(texts, split, strict=True)]
+        words = self._words(text)
+        return self._whole(text) if words is None else b"".join(map(self.known.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
@@ -102,14 +108,15 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
         encode, step = encoder(path).encode, 4 * length
         end = _packed([END_ID])
         for part in parts:
-            rows, ids_of, texts = [], part["doc_id"].astype("Int64").tolist(), [t or "" for t in part["text"]]
-            for k in range(0, len(texts), TOGETHER):
-                for doc_id, ids in zip(ids_of[k:], encode(texts[k : k + TOGETHER]), strict=False):
-                    ids += end
-                    rows += [(doc_id, b // 4, len(x) // 4, zlib.crc32(x), len(ids) // 4) for b in range(0, len(ids), step) if (x := ids[b : b + step])]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
-
-    return docs.select("doc_id", "text").mapInPandas(cut, PIECE)
+            rows = []
+            for doc_id, text in zip(part["doc_id"].tolist(), part["text"], strict=True):
+                ids = encode(text or "") + end
+                rows += [(doc_id, b // 4, len(x) // 4, zlib.crc32(x), len(ids) // 4) for b in range(0, len(ids), step) if (x := ids[b : b + step])]
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+
+    # pandas would turn ids beside a null into floats
+    rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECE)
+    return rows.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
 
 
 def patterns(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, list[int]]]:
