@@ -27,8 +27,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, documents, materialize, prepare, text_or_empty
+from .common import NULL_ID, documents, fresh, materialize, prepare, text_or_empty
 from .components import components
+from .screens import sent_filter
 
 SHINGLE = 5
 #: At least 4/5: intersections count 9 times against 4 times the sum of both sizes.
@@ -108,7 +109,7 @@ def _signed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         sets = [shingles(t) for t in part["text"]]
         yield pd.DataFrame({
-            "uid": part["uid"], "doc_id": part["doc_id"].astype("Int64"), "text_key": part["text_key"],
+            "uid": part["uid"], "doc_id": part["doc_id"], "text_key": part["text_key"],
             "digest": [blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "trees": [tree_keys(s) for s in sets],
         })
 
@@ -165,23 +166,29 @@ def near_classes(spark: SparkSession, docs: DataFrame, uid: Column | None = None
     """
     prepare(spark)
     uid = F.monotonically_increasing_id() if uid is None else uid
-    signed = docs.select(uid.alias("uid"), "doc_id", _keyed(docs)[1], text_or_empty().alias("text")).mapInPandas(
+    key, text_key = _keyed(docs)  # pandas would turn ids beside a null into floats, hence the key
+    signed = docs.select(uid.alias("uid"), key.alias("doc_id"), text_key, text_or_empty().alias("text")).mapInPandas(
         _signed, "uid long, doc_id long, text_key long, digest binary, trees array<long>"
     )
-    signed = materialize(signed, "signatures")
+    signed = materialize(signed.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID))), "signatures")
     sets = materialize(signed.groupBy("digest").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least_id")), "sets")
 
+    # Joins are hinted to merge, so that plans and what they move are alike at every size.
     # Prefix buckets: every set is tied to the least set of each bucket that it shares.
-    trees = signed.join(sets.select("uid"), "uid", "left_semi").select("uid", F.posexplode("trees").alias("tree", "prefix"))
+    trees = signed.join(sets.select("uid").hint("merge"), "uid", "left_semi").select("uid", F.posexplode("trees").alias("tree", "prefix"))
     shared = materialize(trees.groupBy("tree", "prefix").agg(F.min("uid").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "buckets")
-    stars = trees.join(shared, ["tree", "prefix"]).filter("uid <> least").select(F.col("uid").alias("a"), F.col("least").alias("b"))
+    stars = trees.join(shared.hint("merge"), ["tree", "prefix"]).filter("uid <> least").select(F.col("uid").alias("a"), F.col("least").alias("b"))
     groups = materialize(components(stars), "groups")
 
     # All pairs of a group meet once, as texts, in the task of their block pair.
     blocks = groups.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = groups.withColumnRenamed("id", "uid").join(blocks, "label").join(sets.select("uid", "n"), "uid").join(signed.select("uid", "doc_id", "text_key"), "uid")
+    members = groups.withColumnRenamed("id", "uid").join(blocks, "label").join(sets.select("uid", "n").hint("merge"), "uid").join(signed.select("uid", "doc_id", "text_key").hint("merge"), "uid")
     members = members.select("uid", "n", "label", "blocks", F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), "text_key", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int").alias("block"))
-    texts = docs.select(*_keyed(docs), text_or_empty().alias("text")).join(members, ["key", "text_key"])
+    members = materialize(members, "members")
+    texts = docs.select(*_keyed(docs), text_or_empty().alias("text"))
+    if may_hold := sent_filter(members.select(F.col("text_key").alias("k")).distinct()):
+        texts = texts.filter(may_hold(F.col("text_key")))
+    texts = texts.join(members.hint("merge"), ["key", "text_key"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = texts.withColumn("other", other).select("uid", "n", "label", "block", "text", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     compared = materialize(pairs.groupBy("label", "one", "two").applyInPandas(_compare, "uid long, root long, links long"), "compared")
@@ -200,9 +207,10 @@ def near_classes(spark: SparkSession, docs: DataFrame, uid: Column | None = None
 
 def representatives(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row of docs for each class, the first of its least set, with its columns."""
-    stored = materialize(docs.withColumn("_uid", F.monotonically_increasing_id()), "near-input")
-    kept = near_classes(spark, stored, F.col("_uid")).filter("uid = class_label").select(F.col("uid").alias("_uid"))
-    return stored.join(kept, "_uid", "left_semi").select(*docs.columns)
+    uid = fresh(docs, "uid")
+    stored = materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "near-input")
+    kept = near_classes(spark, stored, F.col(uid)).filter("uid = class_label").select(F.col("uid").alias(uid))
+    return stored.join(kept, uid, "left_semi").select(*docs.columns)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
