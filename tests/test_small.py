@@ -1,11 +1,12 @@
 """Operators on inline rows: nulls, empty texts, repeats, non-ASCII, ties."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lorespark.functions import spans
 from lorespark.functions import text as T
 from lorespark.operators import evaluate, extract, lm, quality, retrieval, windows
-from lorespark.sources import collect
+from lorespark.sources import artifacts, collect
 from lorespark.streaming import ingest
 
 
@@ -153,3 +154,20 @@ def test_streaming_ingest_is_incremental(spark, tmp_path):
     rows(2, 3).write.mode("append").parquet(src)
     ingest.run_available(spark, src, out, check)
     assert sorted(r.page_id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_artifacts_round_trip(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b b"), (2, None), (3, "b c")], "doc_id long, text string")
+    index = retrieval.bm25_index(docs, "doc_id", "text")
+    artifacts.save_index(index, str(tmp_path / "index"))
+    loaded = artifacts.load_index(spark, str(tmp_path / "index"))
+    assert sorted(map(tuple, loaded.postings.select("id", "term", "tf").collect())) == sorted(map(tuple, index.postings.select("id", "term", "tf").collect()))
+    sign = lambda df, d=64: artifacts.content_signature(df, "doc_id", "text", d).first().signature
+    assert sign(docs) == sign(docs.repartition(3)) != sign(docs, 32) and sign(docs) != sign(docs.filter("doc_id < 3"))
+    artifacts.save_tokenizer(spark, str(tmp_path / "tok"), "bpe", {"a": 4, "é": 5}, [("a", "b")])
+    assert artifacts.load_tokenizer(spark, str(tmp_path / "tok"), "bpe") == ({"a": 4, "é": 5}, [("a", "b")])
+    with pytest.raises(ValueError):
+        artifacts.load_tokenizer(spark, str(tmp_path / "tok"), "char")
+    for k in range(2):
+        artifacts.append_log(spark, str(tmp_path / "log"), {"run": k})
+    assert spark.read.text(str(tmp_path / "log")).count() == 2
