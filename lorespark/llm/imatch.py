@@ -128,7 +128,8 @@ def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     words = lexicon(docs)
     small = words.count() <= SENT_TERMS
     rows = ordered(docs).withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
-    pairs = with_next(rows, ["text"], F.col("key").desc(), F.col("sha")).withColumn("n_chars", F.length("text").cast("long"))
+    # doc_id changes nothing in the order; with it both uses of pairs read the same columns, and one shuffle serves them.
+    pairs = with_next(rows, ["text"], F.col("key").desc(), F.col("sha"), F.col("doc_id")).withColumn("n_chars", F.length("text").cast("long"))
     edited = F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 2) as int))"), F.expr("left(next_text, cast(floor(n_chars / 2) as int))"))
     pairs = pairs.withColumn("edited", edited)
     about = pairs.select(
