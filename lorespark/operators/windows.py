@@ -151,8 +151,12 @@ def ngrams(text: Column | str, n: int) -> Column:
     """All n-grams of lower-cased, space-separated words, with repeats."""
     c = F.col(text) if isinstance(text, str) else text
     words = F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
+    many = F.greatest(F.size(words) - n + 1, F.lit(0))
+    # Shifted copies zipped: an array named inside a lambda would be computed again for every element.
+    grams = F.slice(words, F.lit(1), many)
+    for k in range(1, n):
+        grams = F.zip_with(grams, F.slice(words, F.lit(k + 1), many), lambda a, b: F.concat(a, F.lit(" "), b))
+    return grams
 
 
 def ngram_counts(rows: DataFrame, key: str, text: str, n: int) -> DataFrame:
