@@ -1,9 +1,9 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
-Templates are word sequences. The index maps each licence word to its places in the templates. A file looks up
-the words it holds with the highest inverse document frequency; each place of such a word, less its place in a
-template, votes for where that template would start; where enough different words agree, the words that
-follow must hold every key phrase of the template. Plain phrases (the base) are found wherever their words
+Templates are word sequences. The index maps each template's words of the highest inverse document frequency to
+their places in the templates. A file looks up every index word that it holds, so that no template is crowded
+out by another's words; each place of such a word, less its place in a template, votes for where that template
+would start; where enough different words agree, the words that follow must hold every key phrase of the template. Plain phrases (the base) are found wherever their words
 stand consecutively.
 
 Rows: a null text is an empty text with no words, null first_word and last_word, empty labels and score 0; a
@@ -49,8 +49,8 @@ TEMPLATES = (
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use", "source and binary forms")),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
 )
-#: A file looks up so many of its licence words, rarest first, and so many of a template's rarest must agree.
-LOOKED_UP, VOTES = 8, 2
+#: So many of a template's words, rarest first, are in the index, and so many of them must agree.
+KEYS, VOTES = 4, 2
 #: Words the region may be longer than the template.
 SLACK = 2
 
@@ -93,7 +93,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dic
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row."""
     ranked = frequencies(docs, vocabulary(templates))
     # Each template answers for its rarest words; they are the index's keys.
-    keys = {k: [w for w in ranked if w in t.text.split()][: LOOKED_UP // 2] for k, t in enumerate(templates)}
+    keys = {k: [w for w in ranked if w in t.text.split()][:KEYS] for k, t in enumerate(templates)}
     index: dict[str, list[Column]] = {}
     for k, t in enumerate(templates):
         for place, word in enumerate(t.text.split()):
@@ -117,9 +117,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dic
         "base_found", F.filter(F.array(*[F.when(F.size(f"base{k}") > 0, F.lit(label)) for k, label in enumerate(base.values())]), lambda x: x.isNotNull())
     )
 
-    # The file's rarest licence words, their places, and a vote of each for (template, start).
-    looked_up = F.slice(F.array_intersect(F.array(*map(F.lit, rare)), F.col("words")), 1, LOOKED_UP)
-    rows = rows.withColumn("anchors", looked_up)
+    # The file's index words, their places, and a vote of each for (template, start).
+    rows = rows.withColumn("anchors", F.array_intersect(F.array(*map(F.lit, rare)), F.col("words")))
     hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(F.col("anchors"), x["word"]))
     rows = rows.withColumn("hits", F.when(F.size("anchors") > 0, hits))
     postings = _string_map({w: F.array(*index[w]) for w in rare})
@@ -149,7 +148,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dic
     verified = F.filter("starts", holds)
     names = F.array(*[F.lit(t.label) for t in templates])
     rows = rows.withColumn("found", F.array_distinct(F.transform(F.coalesce(verified, F.array().cast("array<struct<template:int,start:int>>")), lambda s: F.get(names, s["template"]))))
-    agreed_share = F.lit(0.5) + F.lit(0.5) * F.least(F.lit(1.0), F.size("anchors") / F.lit(float(LOOKED_UP // 2)))
+    agreed_share = F.lit(0.5) + F.lit(0.5) * F.least(F.lit(1.0), F.size("anchors") / F.lit(float(KEYS)))
     score = F.when(F.size("found") > 0, agreed_share).when(F.size("places") > 0, F.lit(0.5)).otherwise(F.lit(0.0))
     return rows.select(
         "doc_id",

@@ -134,6 +134,16 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark)).count() == len(awkward()) and licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_no_licence_is_crowded_out(spark):
+    notices = "\n".join(f"{k}. {t.text}." for k, t in enumerate(licenses.TEMPLATES))
+    prose = "The person in charge kept a copy of the forms, in binary or as a source, on the subject of the terms of redistribution and permission, hereby granted. "
+    filler = [(k, w) for k, w in enumerate(["released under the mit license", "licensed under the apache license version 2 0"] * 20, 10)]
+    rows = [(1, notices), (2, prose * 3 + "This file was released under the MIT license. " + prose * 3), *filler]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got[1].split(",")) == {t.label for t in licenses.TEMPLATES} | {"gpl"} | ({"cc-by"} if "cc by" in notices else set())
+    assert "mit" in got[2].split(",")
+
+
 def test_url_filter_intervals(spark):
     entries = spark.createDataFrame([("a.com", 10, "block"), ("a.com", 20, "allow"), ("a.com", 15, "block"), ("x.a.com", 12, "allow"), ("a.com/p/", 12, "block"), ("t.com", 5, "allow"), ("t.com", 5, "block"), (None, 1, "block"), ("n.com", None, "block")], "pattern string, since long, action string")
     captures = spark.createDataFrame([(1, "http://a.com/", 9), (2, "http://a.com/", 10), (3, "http://A.com/p/q", 19), (4, "https://x.a.com/p/", 30), (5, "http://a.com/p/q", 25), (6, "http://t.com", 5), (7, None, 5), (8, "http://t.com", None), (2, "http://a.com/", 10), (9, "notaurl", 1)], "page_id long, url string, fetched_at long")
