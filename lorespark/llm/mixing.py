@@ -4,7 +4,8 @@ Among all document rates, those closest to one in relative entropy (each documen
 meet every source's token target are exponentials of the dual variables. The dual is convex and, with one
 token constraint a source, its Hessian is diagonal: sums over documents are gathered once by a distributed
 aggregate and every source's row then takes its own Newton steps. Rates become copies: the whole part goes to
-every document, and of the fraction a prefix of the source in hash order, then a few best-fitting documents.
+every document, and of the fraction a prefix of the source in hash order, then a few best-fitting documents,
+then again prefixes of those that still fit, each with a best-fitting one, until no document of any source fits.
 
 Rows: a null text has size 0 and takes nothing; a null source is a source of its own and comes last; repeated
 rows each count, and equal rows are interchangeable; a null doc_id hashes as empty text; ties in hash order go
@@ -14,6 +15,8 @@ mixed() with one row for each copy.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +25,7 @@ from .common import documents, fresh, materialize, text_or_empty
 WEIGHTS = (1, 2, 3)
 CAP = 3
 NEWTON_STEPS = 64
-#: Rounds that put one more document of each source into what is left of its target.
+#: Rounds that put one more document of each source into what is left of its target, before it is topped up.
 FITS = 2
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -60,8 +63,57 @@ def dual(size: str, target: str) -> Column:
     return F.when((F.col(size) > 0) & (F.col(target) > 0), F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step))
 
 
-def copies(docs: DataFrame, uid: Column | None = None) -> DataFrame:
-    """uid, doc_id, source, size, source_size, target, copies for each row of docs; uid tells rows apart."""
+def _upto(rows: DataFrame) -> DataFrame:
+    """rows with upto, the running sum of size in hash order within the source.
+
+    Salts are leading digits of the hash, so sums over them are offsets of running sums within them and a source
+    of any size is summed in up to 4096 parts.
+    """
+    salted = rows.withColumn("salt", F.substring("h", 1, 3))
+    parts = salted.groupBy("source", "salt").agg(F.sum("size").alias("words"))
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("source", "salt", before.alias("before"))
+    run = F.sum("size").over(Window.partitionBy("source", "salt").orderBy("h", "size", "uid").rowsBetween(Window.unboundedPreceding, 0))
+    joined = salted.withColumn("run", run).alias("a").join(parts.alias("b"), F.expr("a.source <=> b.source AND a.salt = b.salt"))
+    return joined.select(*[F.col(f"a.{c}") for c in rows.columns], (F.col("run") + F.col("before")).alias("upto"))
+
+
+def _topped_up(rows: DataFrame) -> DataFrame:
+    """rows with more = 1 for further documents, until none of any source fits into what is left of extra.
+
+    Each round takes a prefix, in hash order, of the documents that fit, then the largest that still fits: what
+    is left is more than halved in two rounds, so rounds grow with the logarithm of the words left.
+    """
+    same = F.expr("a.source <=> b.source")
+    left = rows.groupBy("source", "extra").agg(F.sum(F.col("size") * F.col("more")).alias("got")).select("source", (F.col("extra") - F.col("got") + 1e-6).alias("left"))
+    pool = rows.filter("more = 0 AND size > 0").select("uid", "source", "size", "h")
+    taken = []
+    while True:
+        pool = materialize(pool.alias("a").join(left.alias("b"), same & F.expr("a.size <= b.left")).select("a.*", "b.left"), "fitting")
+        if pool.isEmpty():
+            break
+        pool = materialize(_upto(pool).withColumn("take", F.col("upto") <= F.col("left")).drop("upto"), "round")
+        for last in (False, True):
+            got = F.coalesce(F.sum(F.when(F.col("take"), F.col("size"))), F.lit(0))
+            left = pool.groupBy("source", "left").agg(got.alias("got")).select("source", (F.col("left") - F.col("got")).alias("left"))
+            if last:
+                break
+            fits = pool.drop("left").filter("NOT take").alias("a").join(left.alias("b"), same & F.expr("a.size <= b.left"))
+            best = fits.groupBy("a.source").agg(F.max(F.struct("a.size", "a.h", "a.uid")).alias("best")).select(F.col("best.uid").alias("uid"), F.lit(True).alias("best"))
+            pool = materialize(pool.join(best, "uid", "left").withColumn("take", F.col("take") | F.coalesce("best", F.lit(False))).drop("best"), "best")
+        taken.append(pool.filter("take").select("uid"))
+        pool = pool.filter("NOT take").drop("left", "take")
+    if not taken:
+        return rows
+    picks = reduce(DataFrame.unionAll, taken).withColumn("pick", F.lit(1))
+    return rows.join(picks, "uid", "left").withColumn("more", F.greatest("more", F.coalesce("pick", F.lit(0)))).drop("pick")
+
+
+def copies(docs: DataFrame, uid: Column | None = None, top_up: bool = True) -> DataFrame:
+    """uid, doc_id, source, size, source_size, target, copies for each row of docs; uid tells rows apart.
+
+    Without top_up the fraction ends after the first prefix and FITS documents, which is what ORACLE says.
+    """
     sizes = materialize(
         docs.select((F.monotonically_increasing_id() if uid is None else uid).alias("uid"), "doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), order_key().alias("h")),
         "sizes",
@@ -71,14 +123,8 @@ def copies(docs: DataFrame, uid: Column | None = None) -> DataFrame:
     plan = plan.withColumn("whole", whole).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
     same = F.expr("a.source <=> b.source")
 
-    # A prefix of the source in hash order. Salts are leading digits of the hash, so sums over them are
-    # offsets of running sums within them and a source of any size is summed in up to 4096 parts.
-    salted = sizes.withColumn("salt", F.substring("h", 1, 3))
-    parts = salted.groupBy("source", "salt").agg(F.sum("size").alias("words"))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("source", "salt", before.alias("before"))
-    run = F.sum("size").over(Window.partitionBy("source", "salt").orderBy("h", "size", "uid").rowsBetween(Window.unboundedPreceding, 0))
-    rows = salted.withColumn("run", run).alias("a").join(parts.alias("b"), same & F.expr("a.salt = b.salt")).select("a.*", (F.col("run") + F.col("before")).alias("upto"))
+    # A prefix of the source in hash order.
+    rows = _upto(sizes)
     rows = rows.alias("a").join(plan.alias("b"), same).select("a.uid", "a.doc_id", "a.source", "a.size", "a.h", "b.source_size", "b.target", "b.whole", "b.extra", "a.upto")
     rows = materialize(rows.withColumn("more", (F.col("upto") <= F.col("extra") + 1e-6).cast("int")), "prefix")
 
@@ -90,6 +136,8 @@ def copies(docs: DataFrame, uid: Column | None = None) -> DataFrame:
             *[F.col(f"a.{c}") for c in rows.columns if c != "more"], F.greatest("a.more", F.when(F.col("b.pick").isNotNull(), 1).otherwise(0)).alias("more")
         )
         rows = materialize(rows, "fitted")
+    if top_up:
+        rows = _topped_up(rows)
     return rows.select("uid", "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("more")).cast("long").alias("copies"))
 
 
@@ -102,7 +150,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return copies(documents(spark, sf_dir), top_up=False).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 ORACLE = r"""

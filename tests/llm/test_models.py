@@ -1,5 +1,6 @@
 """Classifier, language ID, mixing, packing, licences, URL filter and the pipeline."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -79,6 +80,17 @@ def test_mixing_targets_and_caps(spark):
     assert mixing.copies(frame(spark, [])).count() == 0
 
 
+def test_mixing_fills_past_a_long_document(spark):
+    first = min(range(1000), key=lambda k: hashlib.sha256(str(k).encode()).hexdigest())
+    rows = [(k, "w " * (5000 if k == first else 10), "a") for k in range(1000)] + [(k, "w " * 6, ("b", "c")[k % 2]) for k in range(2000, 4000)]
+    got = mixing.copies(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source in "abc":
+        of = [r for r in got if r.source == source]
+        left = of[0].target - sum(r.copies * r.size for r in of)
+        whole = min(r.copies for r in of)
+        assert -1e-3 <= left and not any(r.copies == whole and r.size <= left for r in of)
+
+
 def test_newton_solves_the_dual(spark):
     rows = spark.createDataFrame([(10, 30.0), (1000, 1e-3), (5, 5.0), (0, 0.0)], "s long, t double").select("s", "t", mixing.dual("s", "t").alias("lam")).collect()
     assert all(abs(r.s * np.exp(r.lam) - r.t) < 1e-9 * max(1, r.t) for r in rows if r.s) and rows[3].lam is None
