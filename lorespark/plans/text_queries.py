@@ -81,8 +81,10 @@ def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stripped_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.lit("**Note** ![i](u) [link](http://x) [12] <b>*"), F.substring("text", 1, 30), F.lit("*</b> `code`"))
-    return _table(spark, sf_dir, "documents").select("doc_id", T.strip_markdown(line).alias("line"))
+    """All lines of the whole text, each with marks around it."""
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(F.split(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\n")).alias("n", "line"))
+    line = F.concat(F.lit("**Note** ![i](u) [link](http://x) [12] <b>*"), "line", F.lit("*</b> `code`"))
+    return lines.select("doc_id", "n", T.strip_markdown(line).alias("line"))
 
 
 def confidence_badges(spark: SparkSession, sf_dir: str) -> DataFrame:

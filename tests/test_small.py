@@ -171,3 +171,12 @@ def test_artifacts_round_trip(spark, tmp_path):
     for k in range(2):
         artifacts.append_log(spark, str(tmp_path / "log"), {"run": k})
     assert spark.read.text(str(tmp_path / "log")).count() == 2
+
+
+def test_markdown_is_stripped_over_whole_texts(spark, tmp_path):
+    from lorespark.plans import text_queries
+
+    rows = [(1, "x" * 40 + " [far](http://far) end\n\n**second** ![i](u) line"), (2, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.n): r.line for r in text_queries.stripped_markdown(spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): "Note link " + "x" * 40 + " far end code", (1, 1): "Note link code", (1, 2): "Note link second line code", (2, None): None}
