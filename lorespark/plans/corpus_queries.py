@@ -11,6 +11,9 @@ from ..operators import quality as QA
 from ..operators import windows as W
 from . import sql as S
 
+#: Merges that the reference learns.
+MERGES = 1000
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -164,17 +167,17 @@ def bpe_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bpe(spark: SparkSession, sf_dir: str, merges: int) -> list[tuple[str, str]]:
-    """Trained on the benchmark table, whose words are few."""
-    freqs = lm.word_freqs(_table(spark, sf_dir, "benchmark"), "text", "item_id").orderBy("first").select("word", "n").collect()
+    """Trained on the words of all documents, counted in tasks; the merge loop holds the distinct words on the driver."""
+    freqs = lm.word_freqs(_table(spark, sf_dir, "documents"), "text", "doc_id").orderBy("first", "word").select("word", "n").collect()
     return lm.train_bpe([(r.word, r.n) for r in freqs], merges)
 
 
 def bpe_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(_bpe(spark, sf_dir, 200))], "rank long, left string, right string")
+    return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(_bpe(spark, sf_dir, MERGES))], "rank long, left string, right string")
 
 
 def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lm.bpe_encode(_table(spark, sf_dir, "documents"), "doc_id", "text", _bpe(spark, sf_dir, 200))
+    out = lm.bpe_encode(_table(spark, sf_dir, "documents"), "doc_id", "text", _bpe(spark, sf_dir, MERGES))
     return out.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(F.array_join("tokens", " "), 256).alias("tokens_hash"))
 
 

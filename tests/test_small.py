@@ -180,3 +180,14 @@ def test_markdown_is_stripped_over_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.doc_id, r.n): r.line for r in text_queries.stripped_markdown(spark, str(tmp_path)).collect()}
     assert got == {(1, 0): "Note link " + "x" * 40 + " far end code", (1, 1): "Note link code", (1, 2): "Note link second line code", (2, None): None}
+
+
+def test_bpe_learns_from_documents(spark, tmp_path):
+    from lorespark.plans import corpus_queries
+
+    spark.createDataFrame([(1, "zqzq zqzq zq"), (2, " ".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}xy" for k in range(600))), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "other words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    merges = [(r["left"], r["right"]) for r in corpus_queries.bpe_train(spark, str(tmp_path)).orderBy("rank").collect()]
+    assert ("z", "q") in merges and ("x", "y") in merges and ("o", "t") not in merges and len(merges) > 200
+    sizes = {r.doc_id: r.n_tokens for r in corpus_queries.bpe_encode(spark, str(tmp_path)).collect()}
+    assert sizes[1] == 3
