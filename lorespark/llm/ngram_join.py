@@ -1,9 +1,10 @@
-"""N-gram Jaccard join: a MinHash LSH forest proposes, exact shingle sets decide.
+"""N-gram Jaccard join: fixed MinHash bands propose, exact shingle sets decide.
 
-Bawa et al., "LSH Forest: Self-Tuning Indexes for Similarity Search", 2005. A document is the set of its
-five-word shingles; documents of equal sets collapse to one first. Each tree holds the sets sorted by a
-signature prefix; starting from the longest, prefixes are shortened until sets as similar as the threshold
-share one in some tree with the target recall. Sets that share a prefix are tied to the least of them (a star,
+A document is the set of its five-word shingles; documents of equal sets collapse to one first. This is banded
+MinHash in place of an LSH forest (Bawa et al., 2005): there are no sorted prefix tries, and nothing adapts to the
+data. Every band (tree) has one length, the longest at which a formula gives sets as similar as the threshold a
+common band with the target recall. Pairs without a common band that are in no candidate group by other pairs
+are not compared. Sets that share a band's prefix are tied to the least of them (a star,
 never all pairs), stars join to candidate groups, and in every group all pairs are compared exactly, in
 blocks, so that links the trees missed within a group are found too.
 
@@ -44,7 +45,7 @@ U = np.uint64
 
 
 def prefix_length(trees: int = TREES, longest: int = LONGEST, recall: float = RECALL, similarity: float = SIMILARITY) -> int:
-    """Shorten the prefix until pairs at the similarity share one in some tree with the recall."""
+    """The longest band at which pairs at the similarity share one in some tree with the recall, by formula."""
     length = longest
     while length > 1 and 1 - (1 - similarity**length) ** trees < recall:
         length -= 1
