@@ -79,6 +79,11 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((total == 0) | (a == b), (a == b).cast("double")).otherwise(same / total)
 
 
+def as_text(hashes: str) -> Column:
+    """The subsets' hashes in their order, 16 hexadecimal digits each."""
+    return F.array_join(F.transform(hashes, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
+
+
 def ordered(docs: DataFrame) -> DataFrame:
     """key, range, text: documents dealt into ranges of descending id, cut at approximate quantiles."""
     spark = docs.sparkSession
@@ -123,7 +128,10 @@ def with_next(rows: DataFrame, columns: list[str], *by: Column) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
+
+    A fingerprint is a string of 16 hexadecimal digits for each random subset of the lexicon.
+    """
     prepare(spark)
     words = lexicon(docs)
     small = words.count() <= SENT_TERMS
@@ -150,7 +158,7 @@ def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
         one = materialize(one.select("range", "nth", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"), "fingerprints")
     out = with_next(one, ["fingerprint"], F.col("nth"))
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        "doc_id", "n_chars", "edited_sha256", as_text("fingerprint").alias("fingerprint"), as_text("edited_fingerprint").alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )

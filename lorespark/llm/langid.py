@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_fold, prepare
+from .common import documents, fresh, id_fold, prepare
 
 FOLDS, HELD_OUT = 5, 0
 #: Hashed n-gram space.
@@ -151,8 +151,9 @@ def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for part in texts:
             yield pd.DataFrame([model.predict(t) for t in part], columns=["lang_pred", "score"])
 
-    docs = docs.drop("lang_pred", "score").withColumn("_p", predict("text"))
-    return docs.withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score")}).drop("_p")
+    docs = docs.drop("lang_pred", "score")
+    pair = fresh(docs, "prediction")
+    return docs.withColumn(pair, predict("text")).withColumns({"lang_pred": F.col(f"{pair}.lang_pred"), "score": F.col(f"{pair}.score")}).drop(pair)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,12 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, documents, materialize, prepare
+from .common import NULL_ID, documents, freed, materialize, prepare
 
 LENGTH = 2048
 END_ID = 1
-#: Words a worker remembers; the memory is cleared when it is full.
-WORDS = 1_200_000
+#: Words in each of the two generations that a task remembers, of at most so many characters: about 6 MB each.
+WORDS, LONGEST_WORD = 40_000, 32
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SLOT = "length long, low long, high long, first_sequence long, offset long"
@@ -46,15 +46,28 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Memory(dict):
-    """Ids by word; what is missing is asked for once."""
+    """Ids by word in two generations: a full young one takes the old one's place, and words in use come back from it."""
 
     def __init__(self, ask: Callable[[str], bytes]) -> None:
         self.ask = ask
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = ids = self.ask(word)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.ask(word)
+            if len(word) > LONGEST_WORD:
+                return ids
+        if len(self) >= WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class WordEncoder:
     """Ids of texts, word by word with a memory; the same ids as Tokenizer.encode gives for the whole text.
@@ -89,8 +102,6 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers."""
-        if len(self.known) >= WORDS:
-            self.known.clear()
         words = self._words(text)
         return self._whole(text) if words is None else b"".join(map(self.known.__getitem__, words))
 
@@ -113,9 +124,10 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
                 ids = encode(text or "") + end
                 rows += [(doc_id, b // 4, len(x) // 4, zlib.crc32(x), len(ids) // 4) for b in range(0, len(ids), step) if (x := ids[b : b + step])]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        encoder(path).known.forget()
 
     # pandas would turn ids beside a null into floats
-    rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECE)
+    rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).cast("long").alias("doc_id"), "text").mapInPandas(lambda parts: freed(cut(parts)), PIECE)
     return rows.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
 
 

@@ -2,7 +2,7 @@
 
 A list is a table of dated entries: from `since` on, `pattern` has `action` (block or allow) until the next
 entry of the same pattern. Entries become validity intervals once, and an as-of join meets every capture with
-the entries active when it was fetched. A pattern is a host with all its subdomains, or a host and a path
+the entries active when it was fetched. A pattern is a host (without user info, port and dots at its end) with all its subdomains, or a host and a path
 prefix that ends in a slash; of the active entries the one of the longest pattern decides.
 
 Rows: a null url, or one without a host, matches nothing; a null time of fetching matches nothing; entries of a
@@ -21,6 +21,8 @@ from .common import materialize, prepare
 DAY = 86_400
 #: 2024-01-01.
 START = 1_704_067_200
+#: Scheme, user info if any, and the host: a bracketed address, or a name up to its port and without dots at its end.
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]*[^/?#:@\[\].])"
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def with_keys(captures: DataFrame) -> DataFrame:
     """captures with host and keys: every pattern that could match the url."""
-    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1))
+    host = F.lower(F.regexp_extract("url", HOST, 1))
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)", 1)
     rows = captures.withColumns({"host": F.coalesce(host, F.lit("")), "_dirs": F.split(F.coalesce(path, F.lit("")), "/"), "_labels": F.split(F.coalesce(host, F.lit("")), r"\.")})
     n, m = F.size("_labels"), F.size("_dirs")

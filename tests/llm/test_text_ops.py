@@ -1,6 +1,7 @@
 """Suffix dedup, exact dedup, near-duplicates and fingerprints against brute force."""
 
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -69,6 +70,52 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch):
         assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == want
 
 
+def shared_words(texts):
+    n, words, seen = suffix_dedup.PASSAGE, [re.findall(rb"[^\t-\r ]+", t) for t in texts], {}
+    for k, w in enumerate(words):
+        for i in range(len(w) - n + 1):
+            seen.setdefault(tuple(w[i : i + n]), set()).add(k)
+    out = []
+    for w in words:
+        held = set()
+        for i in range(len(w) - n + 1):
+            if len(seen[tuple(w[i : i + n])]) > 1:
+                held.update(range(i, i + n))
+        out.append(len(held))
+    return out
+
+
+def passage_rows():
+    passage = " ".join(f"w{k * k % 97}x{k}" for k in range(130))
+    cut = lambda a, n: " ".join(passage.split()[a : a + n])
+    rows = [(k, f"{sentence(k, 25)}\n{cut(k * 3 % 60, 49 + k % 12)}\t {sentence(k + 40, 30)}") for k in range(30)]
+    rows += [(40, f"{cut(0, 60)} {cut(0, 60)}"), (41, "only " * 300), (42, "only " * 300 + "end"), (43, sentence(7, 55) * 2), (44, sentence(8, 120)), (45, sentence(8, 120)), (46, "a " * 49), (47, "a " * 49 + "a"), (48, "b " * 50)]
+    return rows + [(r[0], r[1]) for r in awkward()]
+
+
+def test_passages_against_brute_force(spark, monkeypatch):
+    rows = passage_rows()
+    want = Counter((r[0], n) for r, n in zip(rows, shared_words([(r[1] or "").encode() for r in rows]), strict=True))
+    assert 10 < sum(n > 0 for _, n in want) < len(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(suffix_dedup, "documents", lambda s, d: df)
+    whole = suffix_dedup.repeated_spans
+    for group in (suffix_dedup.GROUP, 3):
+        monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda s, d, g=group: whole(s, d, g))
+        assert Counter((r.doc_id, r.n_shared_words) for r in suffix_dedup.op1_suffix_dedup(spark, "").collect()) == want
+
+
+def test_parts_of_a_text_meet(monkeypatch):
+    text = " ".join(f"word{k % 611}é{k}" for k in range(4000)).encode() + b" " + b"y" * 3000
+    whole = suffix_dedup.word_codes(text), suffix_dedup.anchors(text)
+    codes = whole[0]
+    words = suffix_dedup.word_anchors(codes)
+    monkeypatch.setattr(suffix_dedup, "PART", 5000)
+    assert (suffix_dedup.word_codes(text) == codes).all() and suffix_dedup.anchors(text) == whole[1]
+    monkeypatch.setattr(suffix_dedup, "PART", 700)
+    assert suffix_dedup.word_anchors(codes) == words
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert suffix_dedup.repeated_spans(spark, none)[0].count() == 0
