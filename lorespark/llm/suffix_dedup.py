@@ -15,7 +15,7 @@ no rows; columns other than doc_id and text are ignored.
 
 Passages are found beside them in the same way, over words in place of bytes: strings of PASSAGE words that
 another document holds too. They are counted (n_shared_words), not removed. A word is a run of other characters
-than ASCII white space; one of over PART bytes counts as several.
+than ASCII white space; one of over a megabyte counts as several.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, documents, freed, materialize, prepare
+from .words import mix, powers, word_codes
 
 LENGTH, GRAM = 400, 64
 #: The same in words, and the bytes that stand for a word.
@@ -48,13 +49,6 @@ ODD = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(ODD, -1, 2**64)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, U)
-    with np.errstate(over="ignore"):
-        np.multiply.accumulate(np.full(n - 1, base, U), out=out[1:])
-    return out
-
-
 _tables: list[np.ndarray] = []
 
 
@@ -62,7 +56,7 @@ def _window_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the GRAM bytes from each place on."""
     if not _tables or len(_tables[0]) <= len(data):
         size = len(data) + (1 << 16)
-        _tables[:] = _powers(INVERSE, size), _powers(ODD, size)
+        _tables[:] = powers(INVERSE, size), powers(ODD, size)
     down, up = _tables
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, U)
@@ -83,32 +77,9 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
-    return h ^ (h >> U(31))
-
-
-_factors = _powers(ODD, 1 << 16)
-
-
-def word_codes(text: bytes) -> np.ndarray:
+def passage_codes(text: bytes) -> np.ndarray:
     """A 32-bit code of each word."""
-    out, start = [], 0
-    while start < len(text):
-        data = np.frombuffer(text[start : start + PART], np.uint8)
-        space = (data == 32) | ((data >= 9) & (data <= 13))
-        if start + PART < len(text) and space.any():  # the last word may go on in the next part
-            data, space = (x[: np.flatnonzero(space)[-1] + 1] for x in (data, space))
-        start += len(data)
-        edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1, append=1))
-        first, size = edge[::2], edge[1::2] - edge[::2]
-        if len(first):
-            at = np.cumsum(size) - size
-            with np.errstate(over="ignore"):
-                place = np.arange(int(size.sum())) - np.repeat(at, size)
-                sums = np.add.reduceat((data[~space].astype(U) + U(1)) * _factors[place & 0xFFFF], at)
-                out.append((_mix(sums + size.astype(U)) >> U(32)).astype("<u4"))
-    return np.concatenate(out) if out else np.zeros(0, "<u4")
+    return (word_codes(text) >> U(32)).astype("<u4")
 
 
 def _word_windows(codes: np.ndarray) -> np.ndarray:
@@ -117,7 +88,7 @@ def _word_windows(codes: np.ndarray) -> np.ndarray:
     h = np.zeros(n, U)
     with np.errstate(over="ignore"):
         for k in range(WORD_GRAM):
-            h = _mix(h * U(ODD) + codes[k : k + n].astype(U) + U(1))
+            h = mix(h * U(ODD) + codes[k : k + n].astype(U) + U(1))
     return h
 
 
@@ -332,7 +303,7 @@ def _scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if digest in seen:
                     continue
                 seen.add(digest)
-                codes = word_codes(text)
+                codes = passage_codes(text)
                 for kind, found in ((BYTES, anchors(text)), (PASSAGES, word_anchors(codes))):
                     yield from ((kind, h, digest, *place) for h, *place in found)
                 if len(codes) >= PASSAGE:
@@ -347,7 +318,7 @@ def _contexts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for digest, packed, marks in zip(part["digest"], part["packed"], part["marks"], strict=True):
                 text = zstandard.decompress(packed)
-                codes = word_codes(text) if any(a["kind"] == PASSAGES for a in marks) else None
+                codes = passage_codes(text) if any(a["kind"] == PASSAGES for a in marks) else None
                 for a in marks:
                     p, first, end = a["place"], a["first"], a["last"]
                     if a["kind"] == BYTES:

@@ -8,7 +8,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lorespark.llm import exact_dedup, imatch, ngram_join, suffix_dedup
+from lorespark.llm import exact_dedup, imatch, ngram_join, suffix_dedup, words
 from lorespark.llm.components import components
 from lorespark.llm.fuse import FuseFilter
 
@@ -107,13 +107,13 @@ def test_passages_against_brute_force(spark, monkeypatch):
 
 def test_parts_of_a_text_meet(monkeypatch):
     text = " ".join(f"word{k % 611}é{k}" for k in range(4000)).encode() + b" " + b"y" * 3000
-    whole = suffix_dedup.word_codes(text), suffix_dedup.anchors(text)
-    codes = whole[0]
-    words = suffix_dedup.word_anchors(codes)
+    codes, places = suffix_dedup.passage_codes(text), suffix_dedup.anchors(text)
+    found = suffix_dedup.word_anchors(codes)
     monkeypatch.setattr(suffix_dedup, "PART", 5000)
-    assert (suffix_dedup.word_codes(text) == codes).all() and suffix_dedup.anchors(text) == whole[1]
+    monkeypatch.setattr(words, "PART", 5000)
+    assert (suffix_dedup.passage_codes(text) == codes).all() and suffix_dedup.anchors(text) == places
     monkeypatch.setattr(suffix_dedup, "PART", 700)
-    assert suffix_dedup.word_anchors(codes) == words
+    assert suffix_dedup.word_anchors(codes) == found
 
 
 def test_empty_tables(spark):
@@ -190,9 +190,46 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert kept.columns == frame(spark).columns
 
 
-def test_prefixes_reach_the_recall():
-    k = ngram_join.prefix_length()
-    assert 1 - (1 - 0.8**k) ** ngram_join.TREES >= ngram_join.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** ngram_join.TREES
+def test_prefixes_are_shortened_to_the_recall():
+    symbols = ngram_join.TREES * ngram_join.LONGEST
+    close, near = {symbols: 5000}, {round(symbols * 0.82): 5000}
+    lengths = [ngram_join.prefix_length(x) for x in (close, {**close, **near}, near, {})]
+    assert ngram_join.LONGEST >= lengths[0] > lengths[1] >= lengths[2] >= lengths[3] == 7
+    assert ngram_join.found_at(np.array(0.8), 7) >= ngram_join.RECALL > ngram_join.found_at(np.array(0.8), 8)
+    assert ngram_join.found_at(np.array(0.8), ngram_join.SHORTEST) > 1 - 1e-5
+
+
+def test_ties_are_neighbours_in_the_sorted_tries(spark):
+    rng = np.random.default_rng(4)
+    signs = rng.integers(0, 3, (300, ngram_join.TREES, ngram_join.LONGEST)).astype(np.uint8) + 126  # across the sign bit
+    rows = [(k, x[:, :8].copy().view(">i8").ravel().tolist(), x[:, 8:].copy().view(">i4").ravel().tolist()) for k, x in enumerate(signs)]
+    got = Counter((r.lcp, frozenset((r.a, r.b))) for r in ngram_join.ties(spark.createDataFrame(rows, "uid long, high array<long>, low array<int>").repartition(3)).collect())
+    for length in (5, 6, 8):  # a node's sets are tied to each other, and to no others
+        for tree in (0, 17):
+            nodes = {}
+            for k, x in enumerate(signs):
+                nodes.setdefault(x[tree, :length].tobytes(), []).append(k)
+            want = sum(len(x) - 1 for x in nodes.values())
+            inside = {frozenset((a, b)) for x in nodes.values() for a in x for b in x if a < b}
+            assert sum(n for (lcp, pair), n in got.items() if lcp >= length and pair in inside) >= want
+    total = sum(len({x[t, :5].tobytes() for x in signs}) for t in range(ngram_join.TREES))
+    assert sum(got.values()) == 300 * ngram_join.TREES - total
+
+
+def test_recall_of_links_near_the_threshold(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(500):
+        words = [f"{x}" for x in rng.integers(0, 3000, 150)]
+        edited = list(words)
+        for place in rng.choice(150, 1 + k % 4, replace=False):
+            edited[place] = f"e{k}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(edited))]
+    want = {(a[0], b[0]) for a, b in zip(rows[::2], rows[1::2], strict=True) if len(shingles(a[1]) & shingles(b[1])) >= 0.8 * len(shingles(a[1]) | shingles(b[1]))}
+    got = {r.doc_id: r for r in ngram_join.near_classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[a].class_id == got[b].class_id == a for a, b in want)
+    assert 300 < len(want) < 450 and found >= 0.99 * len(want)
+    assert sum(r.n_links for r in got.values()) == 2 * found
 
 
 def test_components(spark):
