@@ -9,6 +9,7 @@ ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -48,7 +49,7 @@ def grouped(rows: DataFrame) -> DataFrame:
 
 
 def _shard(shards: int) -> Column:
-    return (F.conv(F.hex(F.substring("digest", 9, 3)), 16, 10).cast("int") % F.lit(shards)).alias("shard")
+    return F.conv(F.hex(F.substring("digest", 9, 3)), 16, 10).cast("int") % F.lit(shards)
 
 
 def _keys(column: pd.Series) -> np.ndarray:
@@ -69,7 +70,7 @@ def _screen(incoming: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
 
 
 def fuse_filters(keys: DataFrame, shards: int) -> DataFrame:
-    return keys.select("digest", _shard(shards)).groupBy("shard").applyInPandas(_build, FILTER)
+    return keys.select("digest", _shard(shards).alias("shard")).groupBy("shard").applyInPandas(_build, FILTER)
 
 
 def snapshot(rows: DataFrame) -> Snapshot:
@@ -80,18 +81,38 @@ def snapshot(rows: DataFrame) -> Snapshot:
 
 
 def screen(batch: DataFrame, frozen: Snapshot) -> DataFrame:
-    """The rows of batch (distinct digests) that may be in the snapshot: all that are, and 1 in 256 others."""
-    return batch.withColumn("shard", _shard(frozen.shards)).groupBy("shard").cogroup(frozen.filters.groupBy("shard")).applyInPandas(_screen, batch.schema)
+    """The rows of batch (distinct digests) that may be in the snapshot: all that are, and 1 in 256 others.
+
+    A batch that is large beside the snapshot is salted, and each shard's filter goes to all of its salts.
+    """
+    salts = 1 + batch.count() // (SHARD_KEYS * frozen.shards)
+    rows = batch.withColumn("shard", _shard(frozen.shards) * salts + F.pmod(F.xxhash64("digest"), F.lit(salts)).cast("int"))
+    filters = frozen.filters.withColumn("shard", F.explode(F.sequence(F.col("shard") * salts, F.col("shard") * salts + (salts - 1))))
+    return rows.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(_screen, batch.schema)
 
 
 def merged(frozen: Snapshot, batch: DataFrame) -> DataFrame:
-    """Groups of the snapshot and the batch together: only screened digests meet the snapshot's buckets."""
-    positive = screen(batch, frozen).select("digest", F.col("keep").alias("new_keep"), F.col("n").alias("new_n"))
-    known = frozen.buckets.join(positive, "digest", "left").select(
-        "digest", F.greatest("keep", "new_keep").alias("keep"), (F.col("n") + F.coalesce("new_n", F.lit(0))).alias("n")
-    )
-    fresh = batch.join(frozen.buckets.join(positive, "digest", "left_semi").select("digest"), "digest", "left_anti")
-    return known.unionByName(fresh.select("digest", "keep", "n"))
+    """Groups of the snapshot and the batch together: only screened digests meet the snapshot's buckets.
+
+    A filter over the screened digests, while it is small, keeps the rest of the snapshot, and of the batch, where
+    it is: neither is shuffled but for rows that may meet.
+    """
+    positive = materialize(screen(batch, frozen).select("digest", F.col("keep").alias("new_keep"), F.col("n").alias("new_n")), "positives")
+    may_hold = sent_filter(positive.select(F.xxhash64("digest").alias("k")))
+
+    def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Rows that may be among the positives, and the others."""
+        if may_hold is None:
+            return rows, None
+        marked = rows.withColumn("may", may_hold(F.xxhash64("digest")))
+        return marked.filter("may").drop("may"), marked.filter("NOT may").drop("may")
+
+    met, apart = parted(frozen.buckets)
+    known = met.join(positive, "digest", "left").select("digest", F.greatest("keep", "new_keep").alias("keep"), (F.col("n") + F.coalesce("new_n", F.lit(0))).alias("n"))
+    both = met.join(positive, "digest", "left_semi").select("digest")
+    screened, unseen = parted(batch.select("digest", "keep", "n"))
+    parts = [known, screened.join(both, "digest", "left_anti"), *(x for x in (apart, unseen) if x is not None)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def byte_checked(docs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -119,7 +140,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, is_new: Column | None = No
     is_new = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1 if is_new is None else is_new
     rows = materialize(digests(docs, F.monotonically_increasing_id() if uid is None else uid, is_new), "digests")
     frozen = snapshot(rows.filter(~F.col("is_new")))
-    groups = materialize(merged(frozen, materialize(grouped(rows.filter("is_new")), "batch-groups")), "groups")
+    groups = materialize(merged(frozen, materialize(grouped(rows.filter("is_new")), "batch-groups")).filter("n > 1"), "groups")
     checked = byte_checked(docs, groups)
     sound = (F.col("variants") == 1) & (F.col("checked") == F.col("n"))
     repeated = materialize(

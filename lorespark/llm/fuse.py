@@ -2,7 +2,8 @@
 
 Graf and Lemire, "Binary Fuse Filters: Fast and Smaller Than Xor Filters", 2022. Construction peels the
 hypergraph in rounds: all slots that hold one key are freed at once, so that each round is a few array
-operations. About 9 bits a key, false positives 1/256, no false negatives.
+operations. About 9 bits a key, false positives 1/256, no false negatives. Repeated keys count once; a filter of no
+keys holds none.
 """
 
 from __future__ import annotations

@@ -1,41 +1,50 @@
 """Mixing sources to target weights by entropy balancing.
 
-Among all document rates, those closest to one in relative entropy (each document weighed by its words) that
-meet every source's token target are exponentials of the dual variables. The dual is convex and, with one
-token constraint a source, its Hessian is diagonal: sums over documents are gathered once by a distributed
-aggregate and every source's row then takes its own Newton steps. Rates become copies: the whole part goes to
-every document, and of the fraction a prefix of the source in hash order, then a few best-fitting documents,
-then again prefixes of those that still fit, each with a best-fitting one, until no document of any source fits.
+Every document gets a rate, the number of times it should be taken. Of all rates up to CAP that meet each source's
+token target, those closest to one in relative entropy (every document weighs the same) are exponentially tilted:
+rate = min(CAP, exp(lam * size / mean size)), with one dual variable lam for a source. So a source short of its
+target repeats its long documents first, and one beyond it leaves them out first. The dual is convex; Newton's
+iterations solve it on distributed sums over the histogram of sizes, a job for each iteration, all sources at once,
+each kept between bounds that hold its solution.
+
+Rates become copies: the whole part goes to every document; of the fractions, documents are taken in the order of
+hash / fraction (sequential Poisson sampling) while they fit into what is left of the target, then the largest that
+still fits, and so on with those that fit, until no document of any source does.
 
 Rows: a null text has size 0 and takes nothing; a null source is a source of its own and comes last; repeated
-rows each count, and equal rows are interchangeable; a null doc_id hashes as empty text; ties in hash order go
-by size; an empty table gives no rows; columns other than doc_id, source and text are ignored, or kept by
+rows each count, and equal rows are interchangeable; a null doc_id hashes as empty text; ties in the order go by
+hash and size; an empty table gives no rows; columns other than doc_id, source and text are ignored, or kept by
 mixed() with one row for each copy.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, materialize, text_or_empty
+from .common import documents, drop, fresh, materialize, text_or_empty
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
-NEWTON_STEPS = 64
-#: Rounds that put one more document of each source into what is left of its target, before it is topped up.
-FITS = 2
+#: Newton's iterations at most, and the relative error of a source's tokens at which they end.
+NEWTON_STEPS, ERROR = 60, 1e-9
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _same() -> Column:
+    """Rows a and b are of one source."""
+    return F.expr("a.source <=> b.source")
+
+
 def order_key(name: str = "doc_id") -> Column:
     return F.sha2(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"), 256)
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """source, source_size, target, lam: each source's share of all words, stopped at CAP times its own.
+    """source, source_size, target: each source's share of all words, stopped at CAP times its own.
 
     Sources fill in order of the level at which they reach their cap; the first that does not reach it fixes
     the level of all that follow, which is what resharing the excess by weight converges to.
@@ -52,44 +61,69 @@ def targets(sizes: DataFrame) -> DataFrame:
     rows = rows.withColumn("level", F.col("rest") / F.col("weights")).withColumn("full", F.col("most") <= F.col("level") * F.col("weight"))
     level = F.max(F.when(~F.col("full"), F.col("level"))).over(everything)  # later rows only subtract more from it
     rows = rows.withColumn("target", F.when(F.col("full"), F.col("most")).otherwise(F.least("most", level * F.col("weight"))))
-    return rows.withColumn("lam", dual("source_size", "target")).select("source", "source_size", "target", "lam")
-
-
-def dual(size: str, target: str) -> Column:
-    """Newton's iterations for size * exp(lam) = target; null where a source has no words."""
-    def step(lam: Column, _: Column) -> Column:
-        return lam + F.col(target) / (F.col(size) * F.exp(lam)) - 1
-
-    return F.when((F.col(size) > 0) & (F.col(target) > 0), F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step))
+    return rows.select("source", "source_size", "target")
+
+
+def rate(lam: Column, size: Column, mean: Column) -> Column:
+    return F.least(F.exp(F.least(lam * size / mean, F.lit(math.log(CAP)))), F.lit(float(CAP)))
+
+
+def duals(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """source, source_size, target, mean, lam (null where a source has no words): the balance's dual variables."""
+    words = materialize(sizes.filter("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
+    mean = words.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
+    state = plan.alias("a").join(mean.alias("b"), _same(), "left").select("a.*", "b.mean")
+    # A rate of the shortest text bounds all of its source's: with size 1, exp(lam / mean).
+    share = F.log(F.try_divide("target", "source_size"))
+    state = state.withColumns({"lam": share, "low": F.least(F.lit(0.0), share) * F.col("mean"), "high": math.log(CAP) * F.col("mean")})
+    state = state.withColumn("lam", F.when(F.col("mean").isNull() | (F.col("target") <= 0), F.lit(None)).when(F.col("target") >= CAP * F.col("source_size"), F.col("high")).otherwise(F.col("lam")))
+    state = materialize(state.withColumn("was", F.lit(float("inf"))), "duals")
+    tokens = F.col("a.n") * F.col("a.size") * rate(F.col("b.lam"), F.col("a.size"), F.col("b.mean"))
+    below = F.col("b.lam") * F.col("a.size") / F.col("b.mean") < math.log(CAP)
+    slope = F.when(below, tokens * F.col("a.size") / F.col("b.mean")).otherwise(0.0)
+    for _ in range(NEWTON_STEPS):
+        sums = words.alias("a").join(state.alias("b"), _same()).groupBy("b.source").agg(F.sum(tokens).alias("tokens"), F.sum(slope).alias("slope"))
+        now = state.alias("a").join(sums.alias("b"), _same(), "left").select("a.*", "b.tokens", "b.slope")
+        over = F.col("tokens") - F.col("target")
+        right = F.abs(over) <= ERROR * F.col("target")
+        now = now.withColumns({"low": F.when(over < 0, F.col("lam")).otherwise(F.col("low")), "high": F.when(over > 0, F.col("lam")).otherwise(F.col("high")), "next": F.col("lam") - F.try_divide(over, F.col("slope"))})
+        # A step that leaves the bounds, or comes after one that did not halve the error, goes to their middle instead.
+        good = (F.col("next") > F.col("low")) & (F.col("next") < F.col("high")) & (F.abs(over) < F.col("was") / 2)
+        now = now.withColumn("lam", F.when(right | F.col("tokens").isNull(), F.col("lam")).when(good, F.col("next")).otherwise((F.col("low") + F.col("high")) / 2))
+        now = materialize(now.withColumns({"right": F.coalesce(right, F.lit(True)), "was": F.abs(over)}).drop("tokens", "slope", "next"), "duals")
+        drop(state)
+        state = now.drop("right")
+        if now.filter("NOT right").isEmpty():
+            break
+    drop(words)
+    return state.drop("low", "high", "was")
 
 
 def _upto(rows: DataFrame) -> DataFrame:
-    """rows with upto, the running sum of size in hash order within the source.
+    """rows with upto, the running sum of size in the order of key within the source.
 
-    Salts are leading digits of the hash, so sums over them are offsets of running sums within them and a source
-    of any size is summed in up to 4096 parts.
+    Salts grow with the key, so sums over them are offsets of running sums within them and a source of any size is
+    summed in up to 4096 parts.
     """
-    salted = rows.withColumn("salt", F.substring("h", 1, 3))
+    salted = rows.withColumn("salt", F.floor(F.lit(4096) * F.col("key") / (1 + F.col("key"))).cast("int"))
     parts = salted.groupBy("source", "salt").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("source", "salt", before.alias("before"))
-    run = F.sum("size").over(Window.partitionBy("source", "salt").orderBy("h", "size", "uid").rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum("size").over(Window.partitionBy("source", "salt").orderBy("key", "h", "size", "uid").rowsBetween(Window.unboundedPreceding, 0))
     joined = salted.withColumn("run", run).alias("a").join(parts.alias("b"), F.expr("a.source <=> b.source AND a.salt = b.salt"))
     return joined.select(*[F.col(f"a.{c}") for c in rows.columns], (F.col("run") + F.col("before")).alias("upto"))
 
 
-def _topped_up(rows: DataFrame) -> DataFrame:
-    """rows with more = 1 for further documents, until none of any source fits into what is left of extra.
+def _rounded(rows: DataFrame, left: DataFrame) -> DataFrame | None:
+    """uid of the rows (uid, source, size, key, h) to take once more, given what is left of each source's target.
 
-    Each round takes a prefix, in hash order, of the documents that fit, then the largest that still fits: what
-    is left is more than halved in two rounds, so rounds grow with the logarithm of the words left.
+    Each round takes the documents that fit, in order, as far as they fit together, then the largest that still
+    does: what is left is more than halved in two rounds, so rounds grow with the logarithm of the words left.
     """
-    same = F.expr("a.source <=> b.source")
-    left = rows.groupBy("source", "extra").agg(F.sum(F.col("size") * F.col("more")).alias("got")).select("source", (F.col("extra") - F.col("got") + 1e-6).alias("left"))
-    pool = rows.filter("more = 0 AND size > 0").select("uid", "source", "size", "h")
-    taken = []
+    fits = _same() & F.expr("a.size <= b.left")
+    pool, taken = rows, []
     while True:
-        pool = materialize(pool.alias("a").join(left.alias("b"), same & F.expr("a.size <= b.left")).select("a.*", "b.left"), "fitting")
+        pool = materialize(pool.alias("a").join(left.alias("b"), fits).select("a.*", "b.left"), "fitting")
         if pool.isEmpty():
             break
         pool = materialize(_upto(pool).withColumn("take", F.col("upto") <= F.col("left")).drop("upto"), "round")
@@ -98,47 +132,35 @@ def _topped_up(rows: DataFrame) -> DataFrame:
             left = pool.groupBy("source", "left").agg(got.alias("got")).select("source", (F.col("left") - F.col("got")).alias("left"))
             if last:
                 break
-            fits = pool.drop("left").filter("NOT take").alias("a").join(left.alias("b"), same & F.expr("a.size <= b.left"))
-            best = fits.groupBy("a.source").agg(F.max(F.struct("a.size", "a.h", "a.uid")).alias("best")).select(F.col("best.uid").alias("uid"), F.lit(True).alias("best"))
+            best = pool.drop("left").filter("NOT take").alias("a").join(left.alias("b"), fits).groupBy("a.source").agg(F.max(F.struct("a.size", "a.h", "a.uid")).alias("best"))
+            best = best.select(F.col("best.uid").alias("uid"), F.lit(True).alias("best"))
             pool = materialize(pool.join(best, "uid", "left").withColumn("take", F.col("take") | F.coalesce("best", F.lit(False))).drop("best"), "best")
         taken.append(pool.filter("take").select("uid"))
         pool = pool.filter("NOT take").drop("left", "take")
-    if not taken:
-        return rows
-    picks = reduce(DataFrame.unionAll, taken).withColumn("pick", F.lit(1))
-    return rows.join(picks, "uid", "left").withColumn("more", F.greatest("more", F.coalesce("pick", F.lit(0)))).drop("pick")
-
+    return reduce(DataFrame.unionAll, taken) if taken else None
 
-def copies(docs: DataFrame, uid: Column | None = None, top_up: bool = True) -> DataFrame:
-    """uid, doc_id, source, size, source_size, target, copies for each row of docs; uid tells rows apart.
 
-    Without top_up the fraction ends after the first prefix and FITS documents, which is what ORACLE says.
-    """
+def copies(docs: DataFrame, uid: Column | None = None) -> DataFrame:
+    """uid, doc_id, source, size, source_size, target, rate, copies for each row of docs; uid tells rows apart."""
     sizes = materialize(
         docs.select((F.monotonically_increasing_id() if uid is None else uid).alias("uid"), "doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), order_key().alias("h")),
         "sizes",
     )
-    plan = materialize(targets(sizes), "targets")
-    whole = F.coalesce(F.floor(F.exp("lam") + 1e-9), F.lit(0))
-    plan = plan.withColumn("whole", whole).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
-    same = F.expr("a.source <=> b.source")
-
-    # A prefix of the source in hash order.
-    rows = _upto(sizes)
-    rows = rows.alias("a").join(plan.alias("b"), same).select("a.uid", "a.doc_id", "a.source", "a.size", "a.h", "b.source_size", "b.target", "b.whole", "b.extra", "a.upto")
-    rows = materialize(rows.withColumn("more", (F.col("upto") <= F.col("extra") + 1e-6).cast("int")), "prefix")
-
-    for _ in range(FITS):
-        left = rows.groupBy("source", "extra").agg(F.sum(F.col("size") * F.col("more")).alias("got")).select("source", (F.col("extra") - F.col("got") + 1e-6).alias("left"))
-        fits = rows.filter("more = 0 AND size > 0").alias("a").join(left.alias("b"), same & F.expr("a.size <= b.left"))
-        best = fits.groupBy("a.source").agg(F.max(F.struct("a.size", "a.h", "a.uid")).alias("best")).select("source", F.col("best.uid").alias("pick"))
-        rows = rows.alias("a").join(best.alias("b"), same & F.expr("a.uid = b.pick"), "left").select(
-            *[F.col(f"a.{c}") for c in rows.columns if c != "more"], F.greatest("a.more", F.when(F.col("b.pick").isNotNull(), 1).otherwise(0)).alias("more")
-        )
-        rows = materialize(rows, "fitted")
-    if top_up:
-        rows = _topped_up(rows)
-    return rows.select("uid", "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("more")).cast("long").alias("copies"))
+    plan = duals(sizes, materialize(targets(sizes), "targets"))
+    rows = sizes.alias("a").join(plan.alias("b"), _same()).select(
+        "a.*", "b.source_size", "b.target", F.when(F.col("a.size") > 0, F.coalesce(rate(F.col("b.lam"), F.col("a.size"), F.col("b.mean")), F.lit(0.0))).otherwise(0.0).alias("rate")
+    )
+    whole = F.floor(F.col("rate") + 1e-9)
+    chance = F.conv(F.substring("h", 1, 13), 16, 10).cast("double") / float(1 << 52)
+    rows = rows.withColumn("whole", whole).withColumn("key", chance / F.greatest(F.col("rate") - F.col("whole"), F.lit(1e-9)))
+    rows = materialize(rows, "rates")
+    left = rows.groupBy("source", "target").agg(F.sum(F.col("size") * F.col("whole")).alias("got")).select("source", (F.col("target") - F.col("got") + 1e-6).alias("left"))
+    picks = _rounded(rows.filter((F.col("size") > 0) & (F.col("whole") < CAP)).select("uid", "source", "size", "key", "h"), left)
+    times = F.col("whole")
+    if picks is not None:
+        rows = rows.join(picks.withColumn("more", F.lit(1)), "uid", "left")
+        times = times + F.coalesce("more", F.lit(0))
+    return rows.select("uid", "doc_id", "source", "size", "source_size", "target", "rate", times.cast("long").alias("copies"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -150,23 +172,4 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies(documents(spark, sf_dir), top_up=False).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
-
-
-ORACLE = r"""
-WITH d AS (SELECT row_number() OVER () AS uid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, sha256(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM d GROUP BY source),
-l AS (SELECT *, 3.0::DOUBLE * source_size AS most, sum(source_size) OVER () - coalesce(sum(3.0::DOUBLE * source_size) OVER r, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER r, 0) AS ws FROM s
-  WINDOW r AS (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-c AS (SELECT *, most <= rest / ws * w AS filled, rest / ws AS level FROM l),
-t AS (SELECT source, source_size, CASE WHEN filled THEN most ELSE least(most, max(level) FILTER (NOT filled) OVER () * w) END AS target FROM c),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-9) ELSE 0 END AS whole FROM t),
-e AS (SELECT *, target - whole * source_size AS extra FROM p),
-r AS (SELECT d.*, source_size, target, whole, extra, (sum(size) OVER (PARTITION BY d.source ORDER BY h, size, uid ROWS UNBOUNDED PRECEDING) <= extra + 1e-6)::INT AS more FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
-l1 AS (SELECT source, any_value(extra) - sum(size * more) + 1e-6 AS room FROM r GROUP BY source),
-b1 AS (SELECT max({'size': size, 'h': h, 'uid': uid}) AS b FROM r JOIN l1 ON r.source IS NOT DISTINCT FROM l1.source WHERE more = 0 AND size > 0 AND size <= room GROUP BY r.source),
-r1 AS (SELECT * REPLACE (CASE WHEN uid IN (SELECT b.uid FROM b1) THEN 1 ELSE more END AS more) FROM r),
-l2 AS (SELECT source, any_value(extra) - sum(size * more) + 1e-6 AS room FROM r1 GROUP BY source),
-b2 AS (SELECT max({'size': size, 'h': h, 'uid': uid}) AS b FROM r1 JOIN l2 ON r1.source IS NOT DISTINCT FROM l2.source WHERE more = 0 AND size > 0 AND size <= room GROUP BY r1.source)
-SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN uid IN (SELECT b.uid FROM b2) THEN 1 ELSE more END))::BIGINT AS taken FROM r1
-"""
+    return copies(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

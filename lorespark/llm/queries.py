@@ -24,5 +24,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": url_filter.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
-    "op8_source_mixing": mixing.ORACLE,
 }

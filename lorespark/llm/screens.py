@@ -1,4 +1,8 @@
-"""A filter over a bounded set of 64-bit keys, sent to every task to spare rows that match none a shuffle."""
+"""A filter over a bounded set of 64-bit keys, sent to every task to spare rows that match none a shuffle.
+
+Rows: null keys are not allowed; repeated keys count once; an empty table gives a filter that holds for none. Above
+SENT_BYTES there is no filter, and callers join everything: the result is the same, only more of it moves.
+"""
 
 from __future__ import annotations
 

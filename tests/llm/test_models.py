@@ -1,6 +1,7 @@
 """Classifier, language ID, mixing, packing, licences, URL filter and the pipeline."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -91,9 +92,77 @@ def test_mixing_fills_past_a_long_document(spark):
         assert -1e-3 <= left and not any(r.copies == whole and r.size <= left for r in of)
 
 
-def test_newton_solves_the_dual(spark):
-    rows = spark.createDataFrame([(10, 30.0), (1000, 1e-3), (5, 5.0), (0, 0.0)], "s long, t double").select("s", "t", mixing.dual("s", "t").alias("lam")).collect()
-    assert all(abs(r.s * np.exp(r.lam) - r.t) < 1e-9 * max(1, r.t) for r in rows if r.s) and rows[3].lam is None
+def mixed_by_hand(rows):
+    """Copies of (doc_id, text, source) rows: the dual by bisection, then rounding one document at a time."""
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    sha = [hashlib.sha256(("" if i is None else str(i)).encode()).hexdigest() for i, _, _ in rows]
+    sources = sorted({r[2] for r in rows}, key=lambda x: (x is None, x or ""))
+    own = {x: sum(n for n, r in zip(size, rows, strict=True) if r[2] == x) for x in sources}
+    weight, full = {x: k % 3 + 1 for k, x in enumerate(sources)}, set()
+    while True:
+        rest, open_ = sum(own.values()) - sum(3 * own[x] for x in full), [x for x in sources if x not in full]
+        target = {x: rest * weight[x] / sum(weight[y] for y in open_) for x in open_} | {x: 3 * own[x] for x in full}
+        if not (more := [x for x in open_ if target[x] >= 3 * own[x]]):
+            break
+        full.update(more)
+    out = [0] * len(rows)
+    for x in sources:
+        at = [k for k, r in enumerate(rows) if r[2] == x and size[k]]
+        if not at:
+            continue
+        mean = own[x] / len(at)
+        rates = lambda lam: [min(3.0, math.exp(min(lam * size[k] / mean, 2))) for k in at]  # noqa: E731, B023
+        low, high = -60.0 * mean, 2.0 * mean
+        for _ in range(300):
+            lam = (low + high) / 2
+            low, high = (lam, high) if sum(r * size[k] for r, k in zip(rates(lam), at, strict=True)) < target[x] else (low, lam)
+        r = rates(high if x in full else lam)
+        for k, v in zip(at, r, strict=True):
+            out[k] = math.floor(v + 1e-9)
+        left = target[x] - sum(out[k] * size[k] for k in at) + 1e-6
+        order = sorted((int(sha[k][:13], 16) / 2**52 / max(v - out[k], 1e-9), sha[k], size[k], k) for k, v in zip(at, r, strict=True) if out[k] < 3)
+        while order := [o for o in order if o[2] <= left]:
+            take = []
+            for o in order:
+                if o[2] > left:
+                    break
+                take.append(o)
+                left -= o[2]
+            order = [o for o in order if o not in take]
+            if fit := [o for o in order if o[2] <= left]:
+                best = max(fit, key=lambda o: (o[2], o[1], o[3]))
+                take.append(best)
+                order.remove(best)
+                left -= best[2]
+            for o in take:
+                out[o[3]] += 1
+    return size, target, out
+
+
+@pytest.mark.parametrize("which", ["whole table", "awkward", "one long document"])
+def test_mixing_by_hand(spark, which):
+    if which == "whole table":
+        rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect()]
+    elif which == "awkward":
+        rows = [(k, r[1], r[3]) for k, r in enumerate(awkward())]
+    else:
+        rows = [(k, "w " * (5000 if k == 7 else 1 + k % 19), "abc"[k % 3]) for k in range(900)]
+    size, target, want = mixed_by_hand(rows)
+    got = {r.doc_id: r for r in mixing.copies(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [got[r[0]].size for r in rows] == size
+    assert all(abs(got[r[0]].target - target[r[2]]) < 1e-6 * max(1, target[r[2]]) for r in rows)
+    assert [got[r[0]].copies for r in rows] == want
+
+
+def test_newton_meets_the_targets_with_tilted_rates(spark):
+    rows = spark.createDataFrame([(k, "w " * (1 + k * k % 300), "abcd"[k % 4 if k % 7 else 0]) for k in range(2000)], "doc_id long, text string, source string")
+    got = mixing.copies(rows).toPandas()
+    for _, g in got.groupby("source"):
+        assert abs((g["rate"] * g["size"]).sum() - g["target"].iloc[0]) < 1e-6 * g["target"].iloc[0]
+        inside = g[(g["rate"] < 3) & (g["size"] > 0)]
+        lam = np.log(inside["rate"]) / inside["size"]
+        assert lam.max() - lam.min() < 1e-9 and inside["rate"].nunique() > 20  # tilted by size, not one rate for all
+        assert (g["copies"] - g["rate"]).abs().max() < 1 + 1e-9 or (g["copies"] <= 3).all()
 
 
 def test_packing_round_trip(spark):
@@ -177,5 +246,27 @@ def test_pipeline_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "n-gram Jaccard join", "source mixing", "packing"]
 
 
+def test_pipeline_edges(spark, tmp_path):
+    for name, rows in (("awkward", awkward()), ("none", [])):
+        frame(spark, rows).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (10, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+        for _, stage in corpus_pipeline.STAGES[1:]:
+            assert stage(spark, docs, f"{tmp_path}/{name}").count() >= (len(rows) > 0)
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() >= 0
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_hosts(spark):
+    rows = spark.createDataFrame([("http://u:p@a.com:80/x/",), ("https://a.com./x/y",), ("http://[::1]:8080/",), ("http://u@b.a.com",)], "url string")
+    assert [r.host for r in url_filter.with_keys(rows).collect()] == ["a.com", "a.com", "[::1]", "b.a.com"]
+
+
+def test_prediction_column_stays(spark):
+    docs = spark.createDataFrame([(1, "some text", 5)], "doc_id long, text string, prediction int")
+    row = langid.identified(docs, langid.learn(frame(spark))).first()
+    assert row.prediction == 5 and row.lang_pred
+
+
 def test_sentences_differ():
     assert len({sentence(k) for k in range(30)}) == 30

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lorespark.llm import exact_dedup, imatch, ngram_join, suffix_dedup, words
 from lorespark.llm.components import components
@@ -139,6 +140,17 @@ def test_exact_dedup_on_awkward_rows(spark):
     assert kept.columns == frame(spark).columns and kept.count() == len(size)
 
 
+def test_large_batch_on_a_small_snapshot(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SHARD_KEYS", 40)
+    docs = spark.createDataFrame([(k, f"text {k % 700}") for k in range(1000)], "doc_id long, text string")
+    for sent in (True, False):  # with and without the filter that spares a shuffle
+        if not sent:
+            monkeypatch.setattr(exact_dedup, "sent_filter", lambda *_: None)
+        for batch in (F.col("doc_id") >= 10, F.col("doc_id") >= 990, F.col("doc_id") < 0, F.col("doc_id") >= 0):
+            got = exact_dedup.exact_dedup(spark, docs, is_new=batch).collect()
+            assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == Counter((k, 700 + k % 700 if k % 700 < 300 else k, 1 + (k % 700 < 300), k >= 300) for k in range(1000))
+
+
 def test_exact_dedup_matches_sql(spark):
     assert_same(exact_dedup.op4_exact_dedup, exact_dedup.ORACLE, spark, SF)
 
