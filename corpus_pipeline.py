@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept; all but the last return the
 columns of documents.
+
+Rows: nulls, empty and very long texts, ties and repeated rows are treated as the operators' modules say (a null
+text is an empty one; of equal rows one stays; an empty text is kept if the classifier passes it, and mixing then
+leaves it out as it has no words); empty tables give empty results, and without labels nothing passes the
+classifier; columns other than those of documents are left out.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lorespark.llm import exact_dedup, mixing, ngram_join, packing, quality
-from lorespark.llm.common import documents, materialize
+from lorespark.llm.common import documents, drop, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,7 +60,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES over documents, each written as Parquet and read again."""
     docs = documents(spark, sf_dir).select(*COLUMNS)
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{k}")
+        kept = materialize(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            drop(docs)  # of the stage before, which nothing reads any more
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
