@@ -27,8 +27,8 @@ from .common import NULL_ID, documents, freed, materialize, prepare
 
 LENGTH = 2048
 END_ID = 1
-#: Words in each of the two generations that a task remembers, of at most so many characters: about 6 MB each.
-WORDS, LONGEST_WORD = 40_000, 32
+#: Words in each of the two generations that a worker remembers, of at most so many characters: about 16 MB each.
+WORDS, LONGEST_WORD = 120_000, 32
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SLOT = "length long, low long, high long, first_sequence long, offset long"
@@ -64,10 +64,6 @@ class _Memory(dict):
         self[word] = ids
         return ids
 
-    def forget(self) -> None:
-        self.clear()
-        self.old = {}
-
 
 class WordEncoder:
     """Ids of texts, word by word with a memory; the same ids as Tokenizer.encode gives for the whole text.
@@ -124,7 +120,6 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
                 ids = encode(text or "") + end
                 rows += [(doc_id, b // 4, len(x) // 4, zlib.crc32(x), len(ids) // 4) for b in range(0, len(ids), step) if (x := ids[b : b + step])]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-        encoder(path).known.forget()
 
     # pandas would turn ids beside a null into floats
     rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).cast("long").alias("doc_id"), "text").mapInPandas(lambda parts: freed(cut(parts)), PIECE)
