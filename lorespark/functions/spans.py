@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .text import word_count
 
-#: A sentence, or a character between sentences.
+#: A sentence, or a character between sentences. The first alternative is a fixed value, the others fill the gaps.
 SENTENCE_TILE = r"[^\n.!?]+(?:[.!?](?=\s|$)|$)|[^\n.!?]+|[\n.!?]"
 #: A sentence that ends in one of these words is cut off.
 DANGLING = r"(?i)(?:^|[^\p{L}\p{N}_])(?:and|or|between|from|to|by|of|the)\s*$"

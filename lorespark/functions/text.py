@@ -15,6 +15,10 @@ SEARCH_TOKEN = r"[a-zA-Z0-9]+(?:['’-][a-zA-Z0-9]+)?"
 #: Search tokens of any script.
 UNICODE_TOKEN = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)?"
 TOKENS_PER_WORD = 1.33
+#: Types of sources that answer with JSON, the heading of a category, and site names after a title.
+API_TYPES = ("sparql_json", "wikipedia_api")
+CATEGORY_HEADING = "# Wikipedia Category Members"
+TITLE_SUFFIXES = (r"\s+- Wikipedia$", r"\s+\|\s+PROV$")
 
 #: Fields of a provenance header, in order.
 HEADER_FIELDS = ("source_id", "source_url", "page_title", "licence", "licence_url", "retrieved", "content_hash_sha256", "http_status")
@@ -68,14 +72,14 @@ def safe_filename(c: Column | str) -> Column:
 
 
 def html_title(html: Column | str, source_type: Column | None = None) -> Column:
-    """The first title; `(no title)` without one, `(API response)` for other sources than pages."""
+    """The first title; `(no title)` without one, `(API response)` for the API types of sources."""
     found = F.trim(F.regexp_extract(_col(html), r"(?i)<title[^>]*>([^<]+)</title>", 1))
     title = F.when(found == "", "(no title)").otherwise(found)
-    return title if source_type is None else F.when(source_type.isin("sparql", "api", "wikidata_sparql", "wiki_api"), "(API response)").otherwise(title)
+    return title if source_type is None else F.when(source_type.isin(*API_TYPES), "(API response)").otherwise(title)
 
 
 def html_to_text(html: Column | str, drop_code: bool = True) -> Column:
-    """Tags become spaces; scripts and styles go with their bodies unless drop_code is off."""
+    """Tags become spaces; scripts and styles go with their bodies unless drop_code is off. Patterns are fixed values."""
     c = _col(html)
     if drop_code:
         c = F.regexp_replace(c, r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>", "")
@@ -84,17 +88,18 @@ def html_to_text(html: Column | str, drop_code: bool = True) -> Column:
 
 
 def bindings_table(payload: Column | str) -> Column:
-    """SPARQL JSON results as lines of cells joined by ` | `; columns are those of the first binding."""
+    """SPARQL JSON results as a Markdown table; columns are those of the first binding, without any it is empty."""
     rows = F.from_json(_col(payload), "results struct<bindings array<map<string,struct<value string>>>>")["results"]["bindings"]
     names = F.map_keys(F.get(rows, F.lit(0)))
     line = lambda row: F.array_join(F.transform(names, lambda n: F.coalesce(F.try_element_at(row, n)["value"], F.lit(""))), " | ")
-    return F.when(F.size(rows) > 0, F.concat_ws("\n", F.array_join(names, " | "), F.array_join(F.transform(rows, line), "\n"))).otherwise("")
+    return F.when(F.size(rows) > 0, F.concat_ws("\n", F.array_join(names, " | "), F.array_join(F.transform(names, lambda _: F.lit("---")), " | "), F.array_join(F.transform(rows, line), "\n"))).otherwise("")
 
 
-def category_list(payload: Column | str, heading: str = "## Category members") -> Column:
-    """Titles of a category API answer as bullets."""
+def category_list(payload: Column | str, heading: str = CATEGORY_HEADING) -> Column:
+    """Titles of a category API answer as bullets under a heading and a blank line; without members it is empty."""
     members = F.from_json(_col(payload), "query struct<categorymembers array<struct<title string>>>")["query"]["categorymembers"]
-    return F.concat_ws("\n", F.lit(heading), F.array_join(F.transform(F.coalesce(members, F.array().cast("array<struct<title:string>>")), lambda m: F.concat(F.lit("- "), m["title"])), "\n"))
+    bullets = F.array_join(F.transform(members, lambda m: F.concat(F.lit("- "), F.coalesce(m["title"], F.lit("")))), "\n")
+    return F.when(F.size(members) > 0, F.concat(F.lit(f"{heading}\n\n"), bullets)).otherwise("")
 
 
 def provenance_header(**fields: Column | str) -> Column:
@@ -103,7 +108,10 @@ def provenance_header(**fields: Column | str) -> Column:
 
 
 def parse_provenance(markdown: Column | str) -> Column:
-    """A struct of the header's fields, the body after it, and whether all required fields are there."""
+    """A struct of the header's fields, the body after it, and whether all required fields are there.
+
+    The header's pattern is a fixed value.
+    """
     head = F.regexp_extract(_col(markdown), r"(?s)\A<!-- PROVENANCE\s*\n(.*?)\n-->\s*", 1)
     body = F.regexp_replace(_col(markdown), r"(?s)\A<!-- PROVENANCE\s*\n(.*?)\n-->\s*", "")
     lines = F.filter(F.split(head, "\n"), lambda x: F.instr(x, ":") > 0)
@@ -115,16 +123,16 @@ def parse_provenance(markdown: Column | str) -> Column:
     return F.struct(fields.alias("fields"), body.alias("body"), valid.alias("valid"))
 
 
-def document_title(page_title: Column | str, source_id: Column | str, suffixes: tuple[str, ...] = (" - Wikipedia",)) -> Column:
-    """The page's title, else the source's id, else `Untitled`; site suffixes go."""
+def document_title(page_title: Column | str, source_id: Column | str, suffixes: tuple[str, ...] = TITLE_SUFFIXES) -> Column:
+    """The page's title, else the source's id, else `Untitled`; site names at its end go, and white space around it."""
     title = F.coalesce(F.nullif(_col(page_title), F.lit("")), F.nullif(_col(source_id), F.lit("")), F.lit("Untitled"))
     for s in suffixes:
-        title = F.regexp_replace(title, r"\s+" + s.strip().replace("|", r"\|") + "$", "")
-    return F.trim(title)
+        title = F.regexp_replace(title, s, "")
+    return F.regexp_replace(title, r"^\s+|\s+$", "")
 
 
 def strip_markdown(c: Column | str) -> Column:
-    """A line without images, link targets, footnote marks, tags and emphasis."""
+    """A line without images, link targets, footnote marks, tags and emphasis. The patterns are fixed values."""
     c = F.regexp_replace(_col(c), r"!\[[^\]]*\]\([^)]*\)", "")
     c = F.regexp_replace(c, r"\[([^\]]+)\]\([^)]*\)", "$1")
     c = F.regexp_replace(c, r"(?i)\[(\d+|citation needed)\]", "")

@@ -8,9 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Longest common n-gram key by which texts and containing documents meet before the exact check.
-KEY_CHARS = 24
-
 
 def containment(passages: DataFrame, queries: DataFrame, p: tuple[str, str], q: tuple[str, str]) -> DataFrame:
     """query_id, id where the passage holds the question's whole text.
@@ -86,11 +83,12 @@ def success() -> Column:
 
 
 def failure_category(kind: str = "query_type") -> Column:
-    """What kind of question it is, by the first rule that applies."""
-    has = lambda *xs: F.lower(kind).rlike("|".join(xs))
+    """Why a question failed, by the first rule that applies; the labels are fixed values."""
+    has = lambda *xs: F.col(kind).rlike("|".join(xs))
     return (
-        F.when(~F.col("answerable"), "unanswerable").when(has("alias"), "alias").when(has("temporal", "date"), "temporal")
-        .when(has("geographic", "location"), "geographic").when(F.col("has_entities"), "entity").otherwise("lexical")
+        F.when(~F.col("answerable"), F.when(F.col("abstained"), "none").otherwise("insufficient_corpus_coverage"))
+        .when(has("alias"), "alias_mismatch").when(has("temporal", "date"), "date_filter_failure")
+        .when(has("geographic", "location"), "location_ambiguity").when(F.col("has_entities"), "semantic_confusion").otherwise("lexical_mismatch")
     )
 
 

@@ -17,7 +17,8 @@ from ..session import prepare
 
 #: Ids 0 to 3.
 SPECIAL = ("<PAD>", "<UNK>", "<BOS>", "<EOS>")
-WORD_PIECE = r"[a-zA-Z']+|[^a-zA-Z'\s]+"
+#: A word, or one other character that is no white space (of Unicode).
+WORD_PIECE = r"[a-zA-Z']+|[^a-zA-Z'\s\x1c-\x1f\x85\p{Z}]"
 END = "</w>"
 ALPHA = 0.1
 

@@ -32,7 +32,7 @@ def top_k(scored: DataFrame, query: str, item: str, k: int, score: str = "score"
 
 @dataclass(frozen=True)
 class SparseIndex:
-    """postings (id, term, tf), lengths (id, len) and terms (term, df)."""
+    """postings (id, term, tf, len: terms of the passage), lengths (id, len) and terms (term, df)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -41,7 +41,7 @@ class SparseIndex:
 
 def bm25_index(passages: DataFrame, id_: str, text: str, unicode: bool = False) -> SparseIndex:
     tokens = passages.select(F.col(id_).alias("id"), search_tokens(F.coalesce(F.col(text), F.lit("")), unicode).alias("tokens"))
-    postings = tokens.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    postings = tokens.select("id", F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("term")).groupBy("id", "term", "len").agg(F.count(F.lit(1)).alias("tf")).select("id", "term", "tf", "len")
     return SparseIndex(postings, tokens.select("id", F.size("tokens").cast("long").alias("len")), postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
 
 
@@ -50,44 +50,109 @@ def query_terms(queries: DataFrame, id_: str, text: str, unicode: bool = False)
     return queries.select(F.col(id_).alias("query_id"), F.explode(tokens).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def bm25_scores(index: SparseIndex, wanted: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, id, score of all passages that share a term. Only postings of asked terms are counted and joined."""
+def _bm25_parts(index: SparseIndex, wanted: DataFrame, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
+    """Postings of asked terms (id, term, w) and question terms with their weight (query_id, term, qw); scores are sums of products.
+
+    Postings carry their passage's length, and the count of documents reads all their columns, so that one shuffle of
+    them serves both the count and the scores.
+    """
     totals = index.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
     asked = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
-    idf = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(totals)).select(  # one row of totals
-        "term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
-    )
-    terms = wanted.join(idf, "term")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    hits = asked.join(terms, "term").join(index.lengths, "id")
-    return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    df = asked.groupBy("term").agg(F.sum(F.when((F.col("tf") > 0) & (F.col("len") > 0), 1).otherwise(0)).alias("df"))
+    idf = df.join(F.broadcast(totals)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row of totals
+    w = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+    return asked.join(F.broadcast(totals)).select("id", "term", w.alias("w")), wanted.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("qw"))
+
+
+#: Passages and questions whose scores are summed in one task.
+PASSAGE_BLOCK = 4_000
+
+
+def sparse_search(weights: DataFrame, wanted: DataFrame, sizes: tuple[int, int], k: int = 10) -> DataFrame:
+    """query_id, id, score, rank: of each question the k best of the passages that share a term, by sums of w * qw.
+
+    A block of passages (id, term, w) and a block of questions (query_id, term, qw) meet in a task, which adds up
+    their terms' products in one matrix and hands on each question's best; no pair becomes a row before that.
+    Weights must be positive. Terms are told apart by 64-bit hashes. sizes: how many passages and questions there are.
+    """
+    prepare(weights.sparkSession)
+    many_p, many_q = 1 + sizes[0] // PASSAGE_BLOCK, 1 + sizes[1] // QUERY_BLOCK
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = weights.select("id", F.xxhash64("term").alias("term"), "w").withColumn("p", F.pmod(F.xxhash64("id"), F.lit(many_p)).cast("int")).withColumn("q", each(many_q))
+    right = wanted.select("query_id", F.xxhash64("term").alias("term"), "qw").withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(many_q)).cast("int")).withColumn("p", each(many_p))
+
+    def best(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        rows, asked = rows[rows["term"].isin(asked["term"])].sort_values(["term", "id"]), asked.sort_values(["term", "query_id"])
+        if rows.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        (ids, at), (questions, of) = (np.unique(x, return_inverse=True) for x in (rows["id"].to_numpy(), asked["query_id"].to_numpy()))
+        scores = np.zeros((len(questions), len(ids)))
+        w, qw, terms, wanted_terms = rows["w"].to_numpy(), asked["qw"].to_numpy(), rows["term"].to_numpy(), asked["term"].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]]))
+        low, high = np.searchsorted(wanted_terms, terms[starts], "left"), np.searchsorted(wanted_terms, terms[starts], "right")
+        for a, b, c, d in zip(starts, [*starts[1:], len(terms)], low, high, strict=True):
+            scores[of[c:d, None], at[None, a:b]] += qw[c:d, None] * w[None, a:b]
+        rounded = np.round(scores, 9)
+        least = np.partition(rounded, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+        q, p = np.nonzero((rounded >= least[:, None]) & (scores > 0))
+        return pd.DataFrame({"query_id": questions[q], "id": ids[p], "score": scores[q, p]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in (weights.schema["id"], wanted.schema["query_id"])}
+    found = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(best, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+    return top_k(found, "query_id", "id", k)
+
+
+def bm25_scores(index: SparseIndex, wanted: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, id, score of all passages that share a term. Only postings of asked terms are counted and joined."""
+    weights, terms = _bm25_parts(index, wanted, k1, b)
+    return weights.join(terms, "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
 
 
 def bm25_search(passages: DataFrame, queries: DataFrame, p: tuple[str, str], q: tuple[str, str], k: int = 10) -> DataFrame:
-    return top_k(bm25_scores(bm25_index(passages, *p), query_terms(queries, *q)), "query_id", "id", k)
+    """query_id, id, score, rank of each question's k best passages."""
+    parts = _bm25_parts(bm25_index(passages, *p), query_terms(queries, *q), K1, B)
+    return sparse_search(*parts, (passages.count(), queries.count()), k)
 
 
-def tfidf_terms(rows: DataFrame, id_: str, text: str) -> DataFrame:
-    """id, term, w = 1 + ln(tf) over one- and two-word terms."""
+def tfidf_terms(rows: DataFrame, id_: str, text: str, coded: bool = False) -> DataFrame:
+    """id, term (or its 64-bit hash), w = 1 + ln(tf) over one- and two-word terms."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TFIDF_TOKEN), F.lit(0))
     rows = rows.select(F.col(id_).alias("id"), words.alias("words"))
     pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
     terms = F.concat("words", F.coalesce(pairs, F.array().cast("array<string>")))
+    if coded:
+        terms = F.transform(terms, lambda t: F.xxhash64(t))
     return rows.select("id", F.explode(terms).alias("term")).groupBy("id", "term").agg((1 + F.log(F.count(F.lit(1)))).alias("w"))
 
 
-def tfidf_scores(passages: DataFrame, queries: DataFrame, p: tuple[str, str], q: tuple[str, str]) -> DataFrame:
-    """Cosine of smooth, sublinear, L2-normalised vectors; unknown question terms are dropped before its norm."""
-    docs, asked = tfidf_terms(passages, *p), tfidf_terms(queries, *q)
+def _tfidf_parts(passages: DataFrame, queries: DataFrame, p: tuple[str, str], q: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Passage terms (id, term, w), as shares of the vector's norm, and question terms (query_id, term, qw) that carry both idfs."""
+    docs, asked = tfidf_terms(passages, *p, coded=True), tfidf_terms(queries, *q, coded=True)
     n = passages.agg(F.count(F.lit(1)).alias("n"))
-    df = docs.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = docs.groupBy("term").agg(F.sum(F.when(F.col("w") > 0, 1).otherwise(0)).alias("df"))  # reads w, so that one shuffle of docs serves all
     idf = df.join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
-    weighted = lambda rows: rows.join(idf, "term").select("id", "term", (F.col("w") * F.col("idf")).alias("w"))
-    docs, asked = weighted(docs), weighted(asked)
-    norm = lambda rows, name: rows.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
-    asked = asked.join(norm(asked, "qn"), "id").select(F.col("id").alias("query_id"), "term", (F.col("w") / F.col("qn")).alias("qw"))
-    dots = docs.join(asked, "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    return dots.join(norm(docs, "dn"), "id").select("query_id", "id", (F.col("dot") / F.col("dn")).alias("score"))
+    norm = lambda rows, name: rows.join(idf, "term").groupBy("id").agg(F.sqrt(F.sum((F.col("w") * F.col("idf")) ** 2)).alias(name))
+    wanted = asked.join(idf, "term").join(norm(asked, "qn"), "id").select(F.col("id").alias("query_id"), "term", (F.col("w") * F.col("idf") * F.col("idf") / F.col("qn")).alias("qw"))
+    held = docs.join(asked.select("term").distinct(), "term", "left_semi").join(norm(docs, "dn"), "id")
+    return held.select("id", "term", (F.col("w") / F.col("dn")).alias("w")), wanted
+
+
+def tfidf_scores(passages: DataFrame, queries: DataFrame, p: tuple[str, str], q: tuple[str, str]) -> DataFrame:
+    """Cosine of smooth, sublinear, L2-normalised vectors; unknown question terms are dropped before its norm."""
+    weights, wanted = _tfidf_parts(passages, queries, p, q)
+    return weights.join(wanted, "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+
+
+def tfidf_search(passages: DataFrame, queries: DataFrame, p: tuple[str, str], q: tuple[str, str], k: int = 10) -> DataFrame:
+    """query_id, id, score, rank of each question's k best passages."""
+    return sparse_search(*_tfidf_parts(passages, queries, p, q), (passages.count(), queries.count()), k)
+
+
+def tfidf_of_pairs(pairs: DataFrame, passages: DataFrame, queries: DataFrame, p: tuple[str, str], q: tuple[str, str]) -> DataFrame:
+    """query_id, id, score of given pairs that share a term: only their passages' terms meet their questions'."""
+    weights, wanted = _tfidf_parts(passages, queries, p, q)
+    asked = pairs.select("query_id", "id").distinct().join(wanted, "query_id")
+    return asked.join(weights, ["id", "term"]).groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
 
 
 def normalise(v: Column) -> Column:
@@ -100,16 +165,18 @@ def normalise(v: Column) -> Column:
 VECTOR_BLOCK, QUERY_BLOCK = 20_000, 2_000
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10, sizes: tuple[int, int] | None = None) -> DataFrame:
     """query_id, id, score, rank: the k nearest vectors (id, vec) of every question (query_id, vec) by cosine.
 
     All questions meet all vectors, in blocks: a task multiplies one block of each and keeps its k best, so no
-    side is sent whole and no pair becomes a row. Null vectors are left out, zero vectors score 0.
+    side is sent whole and no pair becomes a row. Null vectors are left out, zero vectors score 0. sizes, if known,
+    are the numbers of vectors and questions, which choose the number of blocks.
     """
     prepare(vectors.sparkSession)
     vectors = vectors.filter("vec IS NOT NULL").select("id", F.col("vec").cast("array<double>").alias("vec"))
     queries = queries.filter("vec IS NOT NULL").select("query_id", F.col("vec").cast("array<double>").alias("vec"))
-    many_v, many_q = 1 + vectors.count() // VECTOR_BLOCK, 1 + queries.count() // QUERY_BLOCK
+    n_v, n_q = sizes or (vectors.count(), queries.count())
+    many_v, many_q = 1 + n_v // VECTOR_BLOCK, 1 + n_q // QUERY_BLOCK
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = vectors.withColumn("v", F.pmod(F.xxhash64("id"), F.lit(many_v)).cast("int")).withColumn("q", each(many_q))
     right = queries.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(many_q)).cast("int")).withColumn("v", each(many_v))
@@ -144,10 +211,15 @@ def hashed_vectors(rows: DataFrame, id_: str, text: str, dimension: int = 64) ->
     return parts.join(norm, "id").select("id", "idx", (F.col("v") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("v"))
 
 
-def hashed_scores(passages: DataFrame, queries: DataFrame) -> DataFrame:
-    """Cosines of two sparse hashed tables."""
-    q = queries.select(F.col("id").alias("query_id"), "idx", F.col("v").alias("qv"))
-    return passages.join(q, "idx").groupBy("query_id", "id").agg(F.sum(F.col("v") * F.col("qv")).alias("score"))
+def hashed_search(passages: DataFrame, queries: DataFrame, p: tuple[str, str], q: tuple[str, str], k: int = 10, dimension: int = 64) -> DataFrame:
+    """The k nearest passages of each question by their hashed vectors, compared in blocks. Texts without a term are left out."""
+    def arrays(rows: DataFrame, id_: str, text: str) -> DataFrame:
+        by_idx = F.map_from_entries(F.collect_list(F.struct("idx", "v")))
+        sparse = hashed_vectors(rows, id_, text, dimension).groupBy("id").agg(by_idx.alias("m"))
+        return sparse.select("id", F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0.0))).alias("vec"))
+
+    sizes = passages.count(), queries.count()
+    return dense_search(arrays(passages, *p), arrays(queries, *q).withColumnRenamed("id", "query_id"), k, sizes)
 
 
 def fuse(ranked: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -189,7 +261,7 @@ def expand_queries(queries: DataFrame, mentions: DataFrame, mode: str = "entity"
     """query_id, original_query, transformed_query, expansions, entity_ids.
 
     mentions: query_id, entity_id, name, aliases, position. Names and aliases that the question lacks are added
-    in order; mode `none` reports mentions only; `alias` and `entity` do the same.
+    in order; mode `none` reports mentions only; `alias` and `entity` do the same. entity_ids are distinct, sorted.
     """
     per = mentions.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", "entity_id", "name", "aliases"))).alias("ms"))
     rows = queries.join(per, "query_id", "left").withColumn("ms", F.coalesce("ms", F.array().cast("array<struct<position:int,entity_id:string,name:string,aliases:array<string>>>")))
@@ -198,27 +270,36 @@ def expand_queries(queries: DataFrame, mentions: DataFrame, mode: str = "entity"
     none = F.array().cast("array<string>")
     rows = rows.withColumn("expansions", none if mode == "none" else new)
     return rows.select(
-        "query_id", F.col("question").alias("original_query"), F.concat_ws(" ", F.col("question"), F.array_join("expansions", " ")).alias("t"), "expansions",
-        F.transform("ms", lambda m: m["entity_id"]).alias("entity_ids"),
-    ).withColumn("transformed_query", F.trim("t")).drop("t")
+        "query_id", F.col("question").alias("original_query"), "expansions", F.array_sort(F.array_distinct(F.transform("ms", lambda m: m["entity_id"]))).alias("entity_ids"),
+        F.when(F.size("expansions") == 0, F.col("question")).otherwise(F.concat_ws(" ", "question", F.array_join("expansions", " "))).alias("transformed_query"),
+    )
 
 
 def mentions(queries: DataFrame, entities: DataFrame) -> DataFrame:
-    """Word-bounded mentions of names (entity_id, name, aliases), longest first and without overlap.
+    """Word-bounded mentions of names (entity_id, name, aliases), those of most characters first and without overlap.
 
-    Names meet questions by their first token, not by a regex for each pair; a fold then keeps a mention if it
-    overlaps none kept before.
+    position is that of the first token, start that of the first character (from 0). Names meet questions by their
+    first token; the name is then looked up as it is written, whatever the case, at every place that no letter,
+    digit or underscore continues. A fold keeps a mention if it overlaps none kept before. Names without a token
+    are never mentioned.
     """
     surface = entities.select("entity_id", "name", "aliases", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("surface"))
     norm = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     surface = surface.withColumn("tokens", norm(F.col("surface"))).filter("size(tokens) > 0").withColumn("head", F.get("tokens", F.lit(0)))
-    words = queries.select("query_id", norm(F.col("question")).alias("words")).select("query_id", "words", F.posexplode("words").alias("position", "head"))
-    hits = words.join(surface, "head").filter(F.slice("words", F.col("position") + 1, F.size("tokens")) == F.col("tokens"))
-    span = F.struct((-F.size("tokens")).alias("neg"), "position", "entity_id", (F.col("position") + F.size("tokens")).alias("stop"), "name", "aliases", "surface")
+    asked = queries.select("query_id", F.lower("question").alias("q")).select("query_id", "q", F.explode(F.array_distinct(norm(F.col("q")))).alias("head"))
+    hits = asked.join(surface.withColumn("low", F.lower("surface")), "head").filter(F.col("q").contains(F.col("low")))
+    size = F.length("low")
+    word = lambda c: F.coalesce(c.rlike(r"^[\p{L}\p{N}_]$"), F.lit(False))
+    at = lambda i: F.when(i >= 1, F.substr(F.col("q"), i, F.lit(1)))
+    bounded = lambda i: (word(at(i - 1)) != word(at(i))) & (word(at(i + size - 1)) != word(at(i + size)))
+    places = F.filter(F.sequence(F.lit(1), F.length("q") - size + 1), lambda i: (F.substr(F.col("q"), i, size) == F.col("low")) & bounded(i))
+    hits = hits.withColumn("at", F.explode(places)).withColumn("start", F.col("at") - 1)
+    hits = hits.withColumn("position", F.size(norm(F.substr(F.col("q"), F.lit(1), F.col("start")))))
+    span = F.struct((-size).alias("neg"), "start", "entity_id", (F.col("start") + size).alias("stop"), "position", "name", "aliases", "surface")
     per = hits.groupBy("query_id").agg(F.array_sort(F.collect_set(span)).alias("spans"))
     kind = per.schema["spans"].dataType.simpleString()
-    kept = F.aggregate("spans", F.array().cast(kind), lambda acc, s: F.when(F.exists(acc, lambda k: (k["position"] < s["stop"]) & (s["position"] < k["stop"])), acc).otherwise(F.concat(acc, F.array(s))))
-    return per.select("query_id", F.explode(kept).alias("m")).select("query_id", "m.entity_id", "m.name", "m.aliases", "m.surface", "m.position")
+    kept = F.aggregate("spans", F.array().cast(kind), lambda acc, s: F.when(F.exists(acc, lambda k: (k["start"] < s["stop"]) & (s["start"] < k["stop"])), acc).otherwise(F.concat(acc, F.array(s))))
+    return per.select("query_id", F.explode(kept).alias("m")).select("query_id", "m.entity_id", "m.name", "m.aliases", "m.surface", "m.position", "m.start")
 
 
 def graph_evidence(seeds: DataFrame, edges: DataFrame) -> DataFrame:

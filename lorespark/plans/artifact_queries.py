@@ -33,7 +33,7 @@ def query_set_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def combined_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"))
     none = q.select("query_id", F.lit(0).cast("long").alias("id")).filter("false")
-    runs = {"bm25": Q._ranked(spark, sf_dir), "hashed": R.top_k(Q._hashed(spark, sf_dir), "query_id", "id", 10)}
+    runs = {"bm25": Q._ranked(spark, sf_dir), "hashed": Q._hashed(spark, sf_dir, 10)}
     out = A.combined_traces({name: E.traces(r, none, q) for name, r in runs.items()})
     return out.select(F.col("query_id").alias("item_id"), F.array_join("bm25", ",").alias("bm25"), F.array_join("hashed", ",").alias("hashed"))
 

@@ -154,7 +154,7 @@ def char_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def char_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _table(spark, sf_dir, "benchmark")
-    vocab = lm.char_vocab(_table(spark, sf_dir, "documents").filter("lang = 'en'"), "text")
+    vocab = lm.char_vocab(_table(spark, sf_dir, "documents"), "text")
     return lm.char_encode(b, "item_id", "text", vocab).select("item_id", F.array_join("ids", " ").alias("ids"))
 
 
@@ -245,7 +245,7 @@ def _grams(table: str, key: str) -> str:
 
 
 TOKENS = f"tk AS (SELECT doc_id, unnest({S.search_tokens('text')}) AS token, unnest(range(0, len({S.search_tokens('text')}))) AS n FROM documents), vv AS (SELECT count(DISTINCT token) AS v FROM tk)"
-PIECES = r"regexp_extract_all(text, '[a-zA-Z'']+|[^a-zA-Z''\s]+')"
+PIECES = r"regexp_extract_all(text, '[a-zA-Z'']+|[^a-zA-Z''\s\x0b\x1c-\x1f\x{85}\p{Z}]')"
 
 QUERIES = {f.__name__: f for f in (
     clean_lines, passages, passage_spans_valid, small_chunks, representations, lm_batches, ngram_counts, ngram_overlap, sentences, usable_documents, splits, source_balance, licence_audit, capped_training_text, integrity_violations,
@@ -281,7 +281,7 @@ SELECT source_id, licence, training_eligible, words_before, words_after, round(1
     "corpus_fingerprint": "SELECT page_id::VARCHAR AS source_id, url AS source_url, 'CC-BY-4.0' AS licence, '2024-01-01' AS retrieval_timestamp, strlen(html)::BIGINT AS file_size, sha256(html) AS content_hash, 'ok' AS collection_status FROM pages",
     "label_rates": "SELECT lang, count(*) AS n, round(avg(quality), 6) AS quality_rate, round(avg(toxic) FILTER (quality = 1), 6) AS toxic_rate_of_good FROM documents JOIN labels USING (doc_id) GROUP BY lang",
     "char_vocab": "SELECT c AS char, (row_number() OVER (ORDER BY c) + 3)::INT AS id FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> ''",
-    "char_encode": "WITH v AS (SELECT c, (row_number() OVER (ORDER BY c) + 3) AS id FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents WHERE lang = 'en')), t AS (SELECT item_id, unnest(string_split(text, '')) AS c, unnest(range(0, length(text))) AS n FROM benchmark) SELECT item_id, string_agg(coalesce(id, 1)::VARCHAR, ' ' ORDER BY n) AS ids FROM t LEFT JOIN v USING (c) GROUP BY item_id",
+    "char_encode": "WITH v AS (SELECT c, (row_number() OVER (ORDER BY c) + 3) AS id FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents)), t AS (SELECT item_id, unnest(string_split(text, '')) AS c, unnest(range(0, length(text))) AS n FROM benchmark) SELECT item_id, string_agg(coalesce(id, 1)::VARCHAR, ' ' ORDER BY n) AS ids FROM t LEFT JOIN v USING (c) GROUP BY item_id",
     "bpe_word_freqs": f"SELECT w AS word, count(*) AS n FROM (SELECT unnest({PIECES}) AS w FROM documents) GROUP BY w",
     "bpe_pairs": f"WITH f AS (SELECT w, count(*) AS n FROM (SELECT unnest({PIECES}) AS w FROM documents) GROUP BY w), s AS (SELECT n, list_append(string_split(w, ''), '</w>') AS s FROM f), p AS (SELECT n, s, unnest(range(1, len(s))) AS i FROM s) SELECT s[i] AS \"left\", s[i + 1] AS \"right\", sum(n)::BIGINT AS n FROM p GROUP BY ALL",
     "compression": r"SELECT doc_id, length(text)::BIGINT AS chars, len(regexp_extract_all(text, '\S+'))::BIGINT AS words, round(length(text) / nullif(len(regexp_extract_all(text, '\S+')), 0)::DOUBLE, 6) AS chars_per_word FROM documents",

@@ -70,7 +70,7 @@ def entity_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def date_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 100 = 0").withColumn("y", F.year("o_orderdate").cast("string"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("y", F.year("o_orderdate").cast("string"))
     s = F.when(F.col("o_custkey") % 4 == 0, F.concat(F.lit("It opened in "), "y")).when(F.col("o_custkey") % 4 == 1, F.concat(F.lit("Around "), "y", F.lit(" it moved"))).when(F.col("o_custkey") % 4 == 2, F.concat(F.lit("From 1850 it was closed until "), "y")).otherwise("No date at all")
     r = o.select("o_orderkey", s.alias("s")).select("o_orderkey", X.dates(F.col("s"), F.lit(15)).alias("d"))
     return r.select("o_orderkey", "d.date_original", F.col("d.normalised_date.start_year").alias("start_year"), F.col("d.note").alias("note"))
@@ -95,5 +95,5 @@ UNION ALL SELECT 'demolished_in', passage_id, 's' || r, 'string', l, NULL, NULL,
     "places_found": f"WITH {NAT} SELECT hotel AS id, name || ' Hotel' AS name, 144.9::DOUBLE AS lon, ('-37.' || lpad(k::VARCHAR, 4, '8'))::DOUBLE AS lat, 'Carlton' AS suburb FROM h",
     "entity_types": "SELECT n_nationkey::BIGINT AS n, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') || ' ' || ['Hotel', 'Railway Station', 'Town Hall', 'Council', 'Road', 'House'][n_nationkey % 6 + 1] AS name, ['hotel', 'railway_station', 'building', 'government_institution', 'street', 'building'][n_nationkey % 6 + 1] AS entity_type FROM nation",
     "date_records": """SELECT o_orderkey, CASE o_custkey % 4 WHEN 0 THEN y WHEN 1 THEN 'Around ' || y WHEN 2 THEN y END AS date_original, CASE WHEN o_custkey % 4 IN (0, 2) THEN y::INT END AS start_year,
-CASE o_custkey % 4 WHEN 1 THEN 'historical expression retained; precision is not sufficient to normalise' WHEN 3 THEN 'date not stated in supporting text' END AS note FROM (SELECT *, year(o_orderdate)::VARCHAR AS y FROM orders) WHERE o_orderkey % 100 = 0""",
+CASE o_custkey % 4 WHEN 1 THEN 'historical expression retained; precision is not sufficient to normalise' WHEN 3 THEN 'date not stated in supporting text' END AS note FROM (SELECT *, year(o_orderdate)::VARCHAR AS y FROM orders)""",
 }

@@ -34,11 +34,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(R.top_k(_tfidf(spark, sf_dir), "query_id", "id", 10))
-
-
-def _tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.tfidf_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), P, Q)
+    return _out(R.tfidf_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), P, Q))
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,16 +46,16 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(R.top_k(_hashed(spark, sf_dir), "query_id", "id", 10))
+    return _out(_hashed(spark, sf_dir, 10))
 
 
-def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.hashed_scores(R.hashed_vectors(_table(spark, sf_dir, "documents"), *P), R.hashed_vectors(_table(spark, sf_dir, "benchmark"), *Q))
+def _hashed(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return R.hashed_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), P, Q, k)
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     sparse = _ranked(spark, sf_dir, 50).select("query_id", "id", "rank")
-    dense = R.top_k(_hashed(spark, sf_dir), "query_id", "id", 50).select("query_id", "id", "rank")
+    dense = _hashed(spark, sf_dir, 50).select("query_id", "id", "rank")
     return R.fuse(sparse.unionByName(dense))
 
 
@@ -89,7 +85,8 @@ def structured_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused = R.top_k(_fused(spark, sf_dir), "query_id", "id", 10).select("query_id", "id", "score")
-    return _out(R.top_k(R.lexical_rerank(fused, _tfidf(spark, sf_dir), 0.5), "query_id", "id", 10))
+    lexical = R.tfidf_of_pairs(fused, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), P, Q)
+    return _out(R.top_k(R.lexical_rerank(fused, lexical, 0.5), "query_id", "id", 10))
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +172,7 @@ def success_and_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = t.join(F.broadcast(limit)).withColumn("abstained", F.col("top_score") < F.col("threshold"))  # one row
     kind = F.element_at(F.array(*map(F.lit, ("alias", "date range", "location", "lexical"))), (F.col("item_id") % 4 + 1).cast("int"))
     rows = t.withColumns({"success": E.success(), "query_type": kind, "has_entities": F.col("item_id") % 3 == 0})
-    return rows.select("item_id", "success", E.failure_category().alias("failure_category"))
+    return rows.select("item_id", "success", F.when(~F.col("success"), E.failure_category()).alias("failure_category"))
 
 
 def failure_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +181,7 @@ def failure_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def method_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Methods side by side on the development split, and which has the best MRR (ties to the later name)."""
-    runs = {"bm25": _ranked(spark, sf_dir), "hashed": R.top_k(_hashed(spark, sf_dir), "query_id", "id", 10), "rrf": R.top_k(_fused(spark, sf_dir), "query_id", "id", 10)}
+    runs = {"bm25": _ranked(spark, sf_dir), "hashed": _hashed(spark, sf_dir, 10), "rrf": R.top_k(_fused(spark, sf_dir), "query_id", "id", 10)}
     q = _table(spark, sf_dir, "benchmark").filter("item_id % 4 <> 0").select(F.col("item_id").alias("query_id"))
     return E.compare(runs, _gold(spark, sf_dir), q)
 
@@ -268,7 +265,7 @@ SELECT item_id, doc_id, (row_number() OVER (PARTITION BY item_id ORDER BY round(
 SELECT count(*) AS query_count, round(avg((coalesce(first, 99) <= 1)::INT) FILTER (answerable), 6) AS recall_at_1, round(avg((coalesce(first, 99) <= 3)::INT) FILTER (answerable), 6) AS recall_at_3, round(avg((coalesce(first, 99) <= 5)::INT) FILTER (answerable), 6) AS recall_at_5, round(avg((coalesce(first, 99) <= 10)::INT) FILTER (answerable), 6) AS recall_at_10,
  round(avg(coalesce(1.0 / first, 0)) FILTER (answerable), 6) AS mrr, round(avg(coalesce(dcg / ideal, 0)) FILTER (answerable), 6) AS ndcg_at_10, round(coalesce(count(*) FILTER (abstained AND NOT answerable) / nullif(count(*) FILTER (abstained), 0)::DOUBLE, 0), 6) AS unanswerable_precision,
  round(coalesce(count(*) FILTER (abstained AND NOT answerable) / nullif(count(*) FILTER (NOT answerable), 0)::DOUBLE, 0), 6) AS unanswerable_recall, round(avg(abstained::INT), 6) AS zero_result_rate FROM a""",
-    "success_and_failure": f"WITH {TRACE} SELECT item_id, {SUCCESS} AS success, CASE WHEN NOT answerable THEN 'unanswerable' WHEN item_id % 4 = 0 THEN 'alias' WHEN item_id % 4 = 1 THEN 'temporal' WHEN item_id % 4 = 2 THEN 'geographic' WHEN item_id % 3 = 0 THEN 'entity' ELSE 'lexical' END AS failure_category FROM ab",
+    "success_and_failure": f"WITH {TRACE} SELECT item_id, {SUCCESS} AS success, CASE WHEN {SUCCESS} THEN NULL WHEN NOT answerable THEN 'insufficient_corpus_coverage' WHEN item_id % 4 = 0 THEN 'alias_mismatch' WHEN item_id % 4 = 1 THEN 'date_filter_failure' WHEN item_id % 4 = 2 THEN 'location_ambiguity' WHEN item_id % 3 = 0 THEN 'semantic_confusion' ELSE 'lexical_mismatch' END AS failure_category FROM ab",
     "method_comparison": f"""WITH {FUSED}, {GOLD}, al AS (SELECT 'bm25' AS method, item_id, doc_id, rank FROM bmr UNION ALL SELECT 'hashed', item_id, doc_id, rank FROM hsr UNION ALL SELECT 'rrf', item_id, doc_id, rank FROM fur),
 {HITS.format(m='method,', r='al')}, mq AS (SELECT m AS method, item_id FROM (VALUES ('bm25'), ('hashed'), ('rrf')) v(m), (SELECT DISTINCT item_id FROM gold WHERE item_id % 4 <> 0)),
 s AS (SELECT method, round(avg((coalesce(first, 99) <= 5)::INT), 6) AS recall_at_5, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(coalesce(dcg / ideal, 0)), 6) AS ndcg_at_10 FROM mq LEFT JOIN per USING (method, item_id) LEFT JOIN ideal USING (item_id) GROUP BY method)

@@ -72,12 +72,13 @@ def provenance_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents")
-    title = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("text", 1, 20), F.lit(" - Wikipedia"))).when(F.col("doc_id") % 3 == 1, "")
+    k = F.col("doc_id") % 4
+    title = F.when(k == 0, F.concat("text", F.lit(" - Wikipedia"))).when(k == 1, "").when(k == 2, F.concat("text", F.lit(" |  PROV")))
     return d.select("doc_id", T.document_title(title, "source").alias("title"))
 
 
 def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", T.clean_name(F.substring("text", 1, 40)).alias("name"), T.duplicate_name_key(F.substring("text", 1, 40)).alias("name_key"))
+    return _table(spark, sf_dir, "documents").select("doc_id", T.clean_name("text").alias("name"), T.duplicate_name_key("text").alias("name_key"))
 
 
 def stripped_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,11 +167,11 @@ ORACLE_SQL = {
     "safe_filename": "SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g') AS file_name FROM pages",
     "html_title": "SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)), ''), '(no title)') AS title FROM pages",
     "html_to_text": f"SELECT page_id, length({S.html_to_text('html')})::BIGINT AS n_chars, sha256({S.html_to_text('html')}) AS text_hash FROM pages",
-    "bindings_table": "SELECT n_regionkey::BIGINT AS region, 'key | name' || chr(10) || string_agg(n_nationkey || ' | ' || n_name, chr(10) ORDER BY n_nationkey, n_name) AS markdown FROM nation GROUP BY 1",
-    "category_list": "SELECT n_regionkey::BIGINT AS region, '## Category members' || chr(10) || string_agg('- ' || n_name, chr(10) ORDER BY n_name) AS markdown FROM nation GROUP BY 1",
+    "bindings_table": "SELECT n_regionkey::BIGINT AS region, 'key | name' || chr(10) || '--- | ---' || chr(10) || string_agg(n_nationkey || ' | ' || n_name, chr(10) ORDER BY n_nationkey, n_name) AS markdown FROM nation GROUP BY 1",
+    "category_list": "SELECT n_regionkey::BIGINT AS region, '# Wikipedia Category Members' || chr(10) || chr(10) || string_agg('- ' || n_name, chr(10) ORDER BY n_name) AS markdown FROM nation GROUP BY 1",
     "provenance_roundtrip": "SELECT doc_id, source AS source_id, 'https://example.org/' || doc_id AS source_url, 'Document: ' || doc_id AS page_title, sha256(text) = sha256(ltrim(text, chr(10) || chr(9) || chr(13) || ' ')) AS intact, true AS valid FROM documents",
-    "document_titles": "SELECT doc_id, trim(CASE WHEN doc_id % 3 = 0 THEN regexp_replace(substr(text, 1, 20) || ' - Wikipedia', '\\s+- Wikipedia$', '') ELSE source END) AS title FROM documents",
-    "clean_names": f"SELECT doc_id, trim(regexp_replace(regexp_replace(trim(substr(text, 1, 40)), '^(?:The|A|An)\\s+', ''), '\\s+', ' ', 'g'), ' ,.;:()[]') AS name, CASE WHEN length(k) >= 5 THEN k END AS name_key FROM (SELECT *, regexp_replace({S.casefold('substr(text, 1, 40)')}, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS k FROM documents)",
+    "document_titles": "SELECT doc_id, regexp_replace(CASE WHEN doc_id % 4 IN (0, 2) THEN text ELSE source END, '^\\s+|\\s+$', '', 'g') AS title FROM documents",
+    "clean_names": f"SELECT doc_id, trim(regexp_replace(regexp_replace(trim(text), '^(?:The|A|An)\\s+', ''), '\\s+', ' ', 'g'), ' ,.;:()[]') AS name, CASE WHEN length(k) >= 5 THEN k END AS name_key FROM (SELECT *, regexp_replace({S.casefold('text')}, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS k FROM documents)",
     "confidence_badges": "SELECT event_id, CASE WHEN value >= 20 THEN 'High' WHEN value >= 10 THEN 'Moderate' ELSE 'Below threshold' END AS badge FROM events",
     "evaluation_ids": "SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN source ELSE doc_id::VARCHAR END AS evaluation_id FROM documents",
     "url_duplicates": "SELECT page_id, url, first_value(page_id) OVER (PARTITION BY url ORDER BY page_id) AS first_id, row_number() OVER (PARTITION BY url ORDER BY page_id) > 1 AS is_duplicate FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages)",
