@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lookup import held_names, overlapping
+
 
 def containment(passages: DataFrame, queries: DataFrame, p: tuple[str, str], q: tuple[str, str]) -> DataFrame:
     """query_id, id where the passage holds the question's whole text.
@@ -113,11 +115,12 @@ def compare(runs: dict[str, DataFrame], gold: DataFrame, queries: DataFrame) ->
 
 def in_date_range(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     """rows (id, type, start_year, end_year) by overlap with ranges (query_id, type, low, high); a null type is any."""
-    r = ranges.withColumnRenamed("type", "want")
-    return rows.filter("start_year IS NOT NULL").join(r, (F.col("start_year") <= F.col("high")) & (F.coalesce("end_year", "start_year") >= F.col("low")) & (F.col("want").isNull() | (F.col("want") == F.col("type"))))
+    met = overlapping(rows.filter("start_year IS NOT NULL"), ranges.withColumnRenamed("type", "want"))
+    return met.filter(F.col("want").isNull() | (F.col("want") == F.col("type")))
 
 
 def in_place(places: DataFrame, wanted: DataFrame) -> DataFrame:
     """query_id, id of places (id, name, suburb, address) that hold the wanted text, whatever the case."""
-    hit = lambda c: F.lower(c).contains(F.lower("place"))
-    return places.join(wanted, hit("name") | hit("suburb") | hit("address")).select("query_id", "id")
+    fields = places.select("id", F.posexplode(F.array("name", "suburb", "address")).alias("n", "text"))
+    held = held_names(fields.select(F.struct("id", "n").alias("text_id"), "text"), wanted.select(F.col("query_id").alias("name_id"), F.col("place").alias("name")))
+    return held.select(F.col("name_id").alias("query_id"), F.col("text_id.id").alias("id")).distinct()

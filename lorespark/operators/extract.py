@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans
 from ..functions import text as T
+from .lookup import held_names
 
 
 @dataclass(frozen=True)
@@ -204,24 +205,11 @@ def events(passages: DataFrame, found: DataFrame, rules: Rules = Rules()) -> Dat
     )
 
 
-#: Characters of a name's start by which it meets texts; shorter names meet them by all of theirs.
-LONGEST_START = 6
-
-
 def passage_mentions(passages: DataFrame, found: DataFrame) -> DataFrame:
-    """passage_id with every entity whose name its text holds, whatever the case, inside words too.
-
-    Names meet texts by their first characters: texts give all their runs of 3 to LONGEST_START characters that some
-    name may start with, an equi-join finds the names, and the whole name is then checked.
-    """
-    low = T.casefold("canonical_name")
-    starts = found.withColumn("_low", low).filter(F.length("canonical_name") >= 3).withColumn("_start", F.substring("_low", 1, LONGEST_START))
-    runs = passages.select("passage_id", T.casefold("text").alias("_text")).withColumn("_n", F.explode(F.sequence(F.lit(3), F.lit(LONGEST_START))))
-    places = F.when(F.length("_text") >= F.col("_n"), F.sequence(F.lit(1), F.length("_text") - F.col("_n") + 1))
-    runs = runs.select("passage_id", F.explode(F.array_distinct(F.transform(places, lambda i: F.substr(F.col("_text"), i, F.col("_n"))))).alias("_start"))
-    pairs = runs.join(starts.select("entity_id", "canonical_name", "entity_type", "_low", "_start"), "_start").drop("_start")
-    checked = pairs.join(passages.select("passage_id", T.casefold("text").alias("_text")), "passage_id").filter(F.col("_text").contains(F.col("_low")))
-    return checked.drop("_text", "_low")
+    """passage_id with every entity of three characters and more whose name its text holds, whatever the case, inside words too."""
+    names = found.select(F.col("entity_id").alias("name_id"), F.col("canonical_name").alias("name"))
+    held = held_names(passages.select(F.col("passage_id").alias("text_id"), "text"), names, 3).withColumnsRenamed({"text_id": "passage_id", "name_id": "entity_id"})
+    return held.join(found.select("entity_id", "canonical_name", "entity_type"), "entity_id").select("passage_id", "entity_id", "canonical_name", "entity_type")
 
 
 def relations(passages: DataFrame, found: DataFrame, rules: Rules = Rules()) -> tuple[DataFrame, DataFrame]:
