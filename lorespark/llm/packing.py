@@ -27,8 +27,8 @@ from .common import NULL_ID, documents, freed, materialize, prepare
 
 LENGTH = 2048
 END_ID = 1
-#: Words in each of the two generations that a worker remembers, of at most so many characters: about 16 MB each.
-WORDS, LONGEST_WORD = 120_000, 32
+#: Words in each of the two generations that a worker remembers, of at most so many characters: about 30 MB each.
+WORDS, LONGEST_WORD = 220_000, 32
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SLOT = "length long, low long, high long, first_sequence long, offset long"
