@@ -215,6 +215,44 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark)).count() == len(awkward()) and licenses.scan(frame(spark, [])).count() == 0
 
 
+def labels_by_hand(words, rarest):
+    """The method's labels of a file's words: starts on which enough of a template's rarest words agree, then its phrases."""
+    out = set()
+    for t, keys in zip(licenses.TEMPLATES, rarest, strict=True):
+        own = t.text.split()
+        votes = Counter(at - place for at, w in enumerate(words) if w in keys for place, x in enumerate(own) if x == w)
+        for start, n in votes.items():
+            low = max(0, start - licenses.SLACK)
+            region = " " + " ".join(words[low : low + len(own) + 2 * licenses.SLACK]) + " "
+            if n >= min(licenses.VOTES, len(keys)) and all(f" {p} " in region for p in t.phrases):
+                out.add(t.label)
+    return out
+
+
+def test_licence_labels_by_hand(spark):
+    rng = np.random.default_rng(3)
+    texts = [t.text for t in licenses.TEMPLATES] + [licenses.TEMPLATES[0].text.upper() + "!", "cc by nc 4 0", "under the mit license released"]
+    for k in range(150):
+        words = []
+        for _ in range(rng.integers(1, 5)):
+            notice = licenses.TEMPLATES[rng.integers(len(licenses.TEMPLATES))].text.split()
+            if rng.random() < 0.5:
+                notice[rng.integers(len(notice))] = "other"
+            if rng.random() < 0.3:
+                notice.insert(rng.integers(len(notice)), "more")
+            words += [*sentence(int(rng.integers(99)), int(rng.integers(0, 9))).split(), *notice]
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts)) + [(None, None)]
+    files = [WORD.findall((t or "").lower()) for _, t in rows]
+    df = Counter(w for f in files for w in set(f))
+    ranked = sorted(licenses.vocabulary(), key=lambda w: (df[w], w))
+    rarest = [[w for w in ranked if w in t.text.split()][: licenses.KEYS] for t in licenses.TEMPLATES]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (i, _), words in zip(rows, files, strict=True):
+        base = {v for p, v in licenses.BASE.items() if f" {p} " in f" {' '.join(words)} "}
+        assert got[i].labels == ",".join(sorted(labels_by_hand(words, rarest) | base)), words
+
+
 def test_no_licence_is_crowded_out(spark):
     notices = "\n".join(f"{k}. {t.text}." for k, t in enumerate(licenses.TEMPLATES))
     prose = "The person in charge kept a copy of the forms, in binary or as a source, on the subject of the terms of redistribution and permission, hereby granted. "

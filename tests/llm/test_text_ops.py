@@ -1,10 +1,13 @@
 """Suffix dedup, exact dedup, near-duplicates and fingerprints against brute force."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
 import numpy as np
+import regex
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -266,5 +269,55 @@ def test_imatch_edits_and_likeness(spark):
     assert np.mean([r.near_edited for r in got]) > np.mean([r.near_next for r in got])
 
 
+def imatch_by_hand(rows):
+    """doc_id to (fingerprint, edited_fingerprint, near_edited, near_next) of rows (doc_id, text)."""
+    xx = lambda data, seed: xxhash.xxh64_intdigest(data, seed & (2**64 - 1))
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    long = lambda v, seed: xx(v.to_bytes(8, "little", signed=True), seed)
+    terms = lambda t: {signed(xx(w.encode(), 42)) for w in regex.findall(imatch.TERM, t.lower())}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    texts = [t or "" for _, t in order]
+    edited = [t[: len(t) - len(t) // 2] + texts[(k + 1) % len(texts)][: len(t) // 2] for k, t in enumerate(texts)]
+    df = Counter(w for t in texts for w in terms(t))
+    n = len(rows)
+    words = {w for w, c in df.items() if n * math.exp(-imatch.HIGH_IDF) <= c <= n * math.exp(-imatch.LOW_IDF)}
+    chosen = lambda w, k: signed(xx(k.to_bytes(4, "little"), long(w, 42))) % (1 << imatch.LEVELS[k]) == 0
+    mask = {w: sum(1 << k for k in range(imatch.SUBSETS) if chosen(w, k)) for w in words}
+
+    def hashes(text):
+        kept = sorted(terms(text) & words)
+        if not kept:
+            code = signed(xx(text.encode(), 42))
+            return [xx((-1 - k).to_bytes(4, "little", signed=True), long(code, 42)) for k in range(imatch.SUBSETS)]
+        out = []
+        for k in range(imatch.SUBSETS):
+            h = 42
+            for w in kept:
+                if mask[w] >> k & 1:
+                    h = long(mask[w], long(w, h))
+            out.append(h)
+        return out
+
+    def near(a, b):
+        both = [None if x == y == 42 else x == y for x, y in zip(a, b, strict=True)]
+        thin = [x for x in both[imatch.LEVELS.index(imatch.THIN) :] if x is not None]
+        used = thin if len(thin) >= imatch.LEAST_THIN else [x for x in both if x is not None]
+        return float(a == b) if not used or a == b else sum(used) / len(used)
+
+    a, b = [hashes(t) for t in texts], [hashes(t) for t in edited]
+    text = lambda hs: "".join(f"{h:016x}" for h in hs)
+    return {i: (text(a[k]), text(b[k]), near(a[k], b[k]), near(a[k], a[(k + 1) % n])) for k, (i, _) in enumerate(order)}
+
+
+def test_imatch_by_hand(spark):
+    rows = [(k, sentence(k, 20 + 7 * k)) for k in range(40)] + [(50, sentence(3, 41)), (51, None), (52, ""), (53, "x y"), (None, "né 🎉 z"), (60, "Ünïcode _a_ 12 ab " * 30)]
+    got = imatch.fingerprints(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert dict(got.dtypes)["fingerprint"] == dict(got.dtypes)["edited_fingerprint"] == "string"
+    want = imatch_by_hand(rows)
+    for r in got.collect():
+        assert (r.fingerprint, r.edited_fingerprint) == want[r.doc_id][:2]
+        assert abs(r.near_edited - want[r.doc_id][2]) < 1e-9 and abs(r.near_next - want[r.doc_id][3]) < 1e-9
+
+
 def test_imatch_survives_awkward_rows(spark):
     assert imatch.fingerprints(spark, frame(spark)).count() == len(awkward())
