@@ -220,7 +220,9 @@ def relations(passages: DataFrame, found: DataFrame, rules: Rules = Rules()) ->
         F.struct(F.lit(k).alias("kind"), F.lit(name).alias("relation_type"), F.lit(target).alias("target_type"), F.regexp_extract("sentence", f"(?i:{verb}){extra}{rules.proper}", 1).alias("target"), F.length(F.regexp_extract("sentence", f"(?s)^(.*?)(?i:{verb}){extra}{rules.proper}", 1)).alias("at"))
         for k, (name, verb, extra, target) in enumerate(rules.relations)
     ])
-    hits = said.select("*", F.explode(F.filter(kinds, lambda x: x["target"] != "")).alias("k")).select("passage_id", "document_id", "sentence", "start", "end", "k.kind", "k.relation_type", "k.target_type", "k.at", T.clean_name("k.target").alias("target")).filter(F.length("target") >= 3)
+    # Few sentences hold a verb at all; only they go through the patterns.
+    verbal = said.filter(F.col("sentence").rlike("(?i)" + "|".join(f"(?:{verb})" for _, verb, _, _ in rules.relations)))
+    hits = verbal.select("*", F.explode(F.filter(kinds, lambda x: x["target"] != "")).alias("k")).select("passage_id", "document_id", "sentence", "start", "end", "k.kind", "k.relation_type", "k.target_type", "k.at", T.clean_name("k.target").alias("target")).filter(F.length("target") >= 3)
     near = hits.join(mentioned.filter(~F.col("entity_type").isin("place", "suburb", "street")), "passage_id")
     last = _last_start(F.col("sentence"), F.col("canonical_name"), F.col("at") - F.length("canonical_name"))
     near = near.withColumn("_d", F.col("at") - last - F.length("canonical_name")).filter("_d >= 0")

@@ -23,9 +23,11 @@ def held_names(texts: DataFrame, names: DataFrame, least: int = 1) -> DataFrame:
     that some name may start with, an equi-join finds the names, and the whole name is then checked.
     """
     starts = names.filter(F.length("name") >= F.greatest(F.lit(least), F.lit(1))).select("name_id", casefold("name").alias("low")).distinct().withColumn("start", F.substring("low", 1, LONGEST_START))
-    low = texts.select("text_id", casefold("text").alias("body")).withColumn("n", F.explode(F.sequence(F.lit(max(1, least)), F.lit(max(least, LONGEST_START)))))
-    places = F.when(F.length("body") >= F.col("n"), F.sequence(F.lit(1), F.length("body") - F.col("n") + 1))
-    runs = low.select("text_id", F.explode(F.array_distinct(F.transform(places, lambda i: F.substr(F.col("body"), i, F.col("n"))))).alias("start"))
+    lengths = starts.select(F.length("start").alias("n")).distinct()  # LONGEST_START rows at most
+    low = texts.select("text_id", casefold("text").alias("body")).join(F.broadcast(lengths))
+    # A look-ahead at every place: taking substrings would read the text from its start each time.
+    every = F.regexp_extract_all("body", F.concat(F.lit("(?s)(?=(.{"), F.col("n").cast("string"), F.lit("}))")), F.lit(1))
+    runs = low.select("text_id", F.explode(F.array_distinct(every)).alias("start"))
     pairs = runs.join(starts, "start").select("text_id", "name_id", "low").distinct()
     return pairs.join(texts.select("text_id", casefold("text").alias("body")).distinct(), "text_id").filter(F.col("body").contains(F.col("low"))).select("text_id", "name_id").distinct()
 

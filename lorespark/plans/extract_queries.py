@@ -1,4 +1,8 @@
-"""Extraction over sentences made of nation and region names, whose outcome is known by construction."""
+"""Extraction over sentences made of nation and region names, whose outcome is known by construction, and over all documents.
+
+The queries named *_of_documents cut every whole text into passages; the name of its source is a document's title, as
+the table has none. They have no SQL: tests/test_extract.py holds them against rules applied by hand.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from pyspark.sql import functions as F
 
 
 from ..operators import extract as X
+from ..operators import windows as W
 from . import sql as S
 
 YEAR = "(1850 + n_nationkey)"
@@ -63,6 +68,38 @@ def places_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", F.col("properties.name").alias("name"), F.get("geometry.coordinates", F.lit(0)).alias("lon"), F.get("geometry.coordinates", F.lit(1)).alias("lat"), F.col("properties.suburb").alias("suburb"))
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All documents (document_id, source_id, title, source_url) and their passages."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id IS NOT NULL")
+    key = F.col("doc_id").cast("string").alias("document_id")
+    documents = d.select(key, F.col("source").alias("source_id"), F.coalesce("source", F.lit("")).alias("title"), F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")).alias("source_url"))
+    return documents, W.passages(d.select(key, F.coalesce("text", F.lit("")).alias("cleaned_text"))).select("passage_id", "document_id", "passage_index", "text")
+
+
+def entities_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, passages = _documents(spark, sf_dir)
+    _, merged = X.relations(passages, X.entities(documents, passages))
+    return merged.select("entity_id", "canonical_name", "entity_type", "confidence", "extraction_method", F.size("supporting_passage_ids").cast("long").alias("supports"))
+
+
+def events_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, passages = _documents(spark, sf_dir)
+    e = X.events(passages, X.entities(documents, passages))
+    return e.select("event_id", "event_type", F.get("supporting_passage_ids", F.lit(0)).alias("passage_id"), F.get("involved_entity_ids", F.lit(0)).alias("entity_id"), "date_original", F.col("normalised_date.start_year").alias("start_year"), "supporting_text")
+
+
+def relations_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, passages = _documents(spark, sf_dir)
+    relations, _ = X.relations(passages, X.entities(documents, passages))
+    return relations.select("relation_type", "subject_entity_id", "object_entity_id", F.get("supporting_passage_ids", F.lit(0)).alias("passage_id"))
+
+
+def places_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, passages = _documents(spark, sf_dir)
+    p = X.places(documents, passages, X.entities(documents, passages))
+    return p.select("id", F.col("properties.name").alias("name"), "geometry.coordinates", F.col("properties.suburb").alias("suburb"))
+
+
 def entity_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*map(F.lit, ("Hotel", "Railway Station", "Town Hall", "Council", "Road", "House")))
     n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("n"), F.concat_ws(" ", F.initcap(F.lower("n_name")), F.get(kinds, F.col("n_nationkey") % 6)).alias("name"))
@@ -79,7 +116,7 @@ def date_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAT = f"""n AS (SELECT n_nationkey AS k, n_regionkey AS r, 'Nat' || translate(n_nationkey::VARCHAR, '0123456789', 'abcdefghij') AS name, printf('pass_%02d', n_nationkey) AS passage_id, {YEAR}::VARCHAR AS y, (1950 + n_nationkey)::VARCHAR AS l FROM nation),
 h AS (SELECT *, {S.stable_id('ent', "'hotel'", "name || ' Hotel'")} AS hotel, {S.stable_id('ent', "'organisation'", "name || ' Partners'")} AS firm, {S.stable_id('ent', "'suburb'", "'Carlton'")} AS carlton FROM n)"""
 
-QUERIES = {f.__name__: f for f in (entities_merged, events_nearest, relations_found, claims_made, places_found, entity_types, date_records)}
+QUERIES = {f.__name__: f for f in (entities_of_documents, events_of_documents, relations_of_documents, places_of_documents, entities_merged, events_nearest, relations_found, claims_made, places_found, entity_types, date_records)}
 
 ORACLE_SQL = {
     "entities_merged": f"""WITH {NAT} SELECT hotel AS entity_id, name || ' Hotel' AS canonical_name, 'hotel' AS entity_type, 0.98::DOUBLE AS confidence, 'document_title_rule_v1' AS extraction_method, 1::BIGINT AS supports FROM h
