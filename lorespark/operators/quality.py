@@ -43,8 +43,10 @@ def splits(documents: DataFrame, key: str) -> DataFrame:
 
 
 def capped_text(text: str, cap: int) -> Column:
-    """The text up to the end of its cap-th word, spacing kept."""
-    return F.regexp_extract(text, rf"(?s)^\s*(?:\S+\s*){{0,{cap - 1}}}\S+", 0)
+    """The text, trimmed; one of more than cap words ends with its cap-th word, spacing kept."""
+    pieces = F.regexp_extract_all(F.col(text), F.lit(rf"(?s).*?{T.WORD}"), F.lit(0))
+    whole = F.when(F.size(pieces) > cap, F.array_join(F.slice(pieces, 1, cap), "")).otherwise(F.col(text))
+    return F.regexp_replace(whole, r"^\s+|\s+$", "")
 
 
 def source_balance(rows: DataFrame, cap: int = SOURCE_WORDS, licences: tuple[str, ...] = TRAINING_LICENCES) -> DataFrame:
