@@ -141,6 +141,34 @@ def bpe_encode(rows: DataFrame, key: str, text: str, merges: list[tuple[str, str
     return flat.join(pieces, "word").groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "pieces"))), lambda x: x["pieces"])).alias("tokens"))
 
 
+def bpe_vocab(freqs: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    """token, id: the symbols that words (word) consist of after all merges, in code point order after the special ids."""
+    whole = freqs.select(F.col("word").alias("_w"), F.col("word").alias("_t"))
+    tokens = bpe_encode(whole, "_w", "_t", merges).select(F.explode("tokens").alias("token")).distinct()
+    return tokens.select("token", (F.row_number().over(Window.orderBy("token")) + len(SPECIAL) - 1).cast("int").alias("id"))  # at most a row for each merge and character
+
+
+def bpe_ids(tokens: DataFrame, key: str, vocab: DataFrame, special: bool = False) -> DataFrame:
+    """key, ids of rows (key, tokens); tokens without an id are 1; special adds 2 before and 3 behind.
+
+    A row without tokens has no ids but the special ones.
+    """
+    flat = tokens.select(key, F.posexplode_outer("tokens").alias("n", "token"))
+    found = flat.join(vocab.withColumnRenamed("id", "_id"), "token", "left")
+    known = F.when(F.col("token").isNotNull(), F.struct("n", F.coalesce("_id", F.lit(1)).alias("_id")))
+    out = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(known)), lambda x: x["_id"]).alias("ids"))
+    return out.withColumn("ids", F.concat(F.array(F.lit(2)), "ids", F.array(F.lit(3)))) if special else out
+
+
+def bpe_decode(rows: DataFrame, key: str, ids: str, vocab: DataFrame) -> DataFrame:
+    """key, text: ends of words become spaces, special ids are left out, unknown ones become `?`."""
+    flat = rows.select(key, F.posexplode_outer(ids).alias("n", "_id"))
+    found = flat.join(vocab.withColumnRenamed("id", "_id"), "_id", "left")
+    part = F.when(F.col("_id").isNotNull() & ~F.col("_id").isin(0, 2, 3), F.struct("n", F.coalesce("token", F.lit("?")).alias("token")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["token"]), "")
+    return found.groupBy(key).agg(F.trim(F.replace(text, F.lit(END), F.lit(" "))).alias("text"))
+
+
 def unigram_perplexity(train: DataFrame, held: DataFrame, token: str, alpha: float = ALPHA) -> DataFrame:
     """perplexity of held tokens under add-alpha counts of train; the vocabulary is train's and held's together."""
     counts = train.groupBy(token).agg(F.count(F.lit(1)).alias("c"))

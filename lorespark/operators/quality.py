@@ -17,6 +17,8 @@ from .windows import USABLE_WORDS
 TRAINING_LICENCES = ("CC-BY-4.0", "CC-BY-SA-4.0", "OGL-AU", "PUBLIC-DOMAIN")
 #: Words of a source that go into the training text at most.
 SOURCE_WORDS = 6_000
+#: What the balance says of a source.
+WHOLE, CAPPED, UNCLEAR = "included in full", "capped at {:,} words", "licence is unclear or incompatible with training"
 
 
 def usable(text: str) -> Column:
@@ -56,7 +58,7 @@ def source_balance(rows: DataFrame, cap: int = SOURCE_WORDS, licences: tuple[str
     everything = Window.partitionBy()
     rows = rows.select("source_id", "licence", ok.alias("training_eligible"), F.col("words").alias("words_before"), after.cast("long").alias("words_after"))
     share = lambda c: F.round(F.coalesce(F.try_divide(100.0 * F.col(c), F.sum(c).over(everything)), F.lit(0.0)), 2)
-    decision = F.when(~F.col("training_eligible"), "exclude_licence").when(F.col("words_before") > cap, "cap").otherwise("include")
+    decision = F.when(~F.col("training_eligible"), UNCLEAR).when(F.col("words_before") > cap, CAPPED.format(cap)).otherwise(WHOLE)
     return rows.withColumns({"percent_before": share("words_before"), "percent_after": share("words_after"), "decision": decision})
 
 

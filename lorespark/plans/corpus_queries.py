@@ -270,7 +270,7 @@ s AS (SELECT item_id, doc_id, sum(least(a.n, b.n)) / any_value(total)::DOUBLE AS
 t AS (SELECT *, CASE WHEN n >= 3 AND t0 + v >= n THEN n - v - 1 ELSE t0 END AS t FROM c) SELECT doc_id, CASE WHEN r <= t THEN 'train' WHEN r <= t + v THEN 'validation' ELSE 'test' END AS split FROM t""",
     "source_balance": f"""WITH s AS (SELECT source AS source_id, sum({S.word_count('text')})::BIGINT AS words_before, min(doc_id) AS doc_id FROM documents GROUP BY source), l AS (SELECT source_id, words_before, {LICENCE} AS licence FROM s),
 e AS (SELECT *, coalesce(licence IN ('CC-BY-4.0', 'CC-BY-SA-4.0', 'OGL-AU', 'PUBLIC-DOMAIN'), false) AS training_eligible FROM l), a AS (SELECT *, CASE WHEN training_eligible THEN least(words_before, 6000) ELSE 0 END::BIGINT AS words_after FROM e)
-SELECT source_id, licence, training_eligible, words_before, words_after, round(100.0::DOUBLE * words_before / sum(words_before) OVER (), 2) AS percent_before, round(100.0::DOUBLE * words_after / sum(words_after) OVER (), 2) AS percent_after, CASE WHEN NOT training_eligible THEN 'exclude_licence' WHEN words_before > 6000 THEN 'cap' ELSE 'include' END AS decision FROM a""",
+SELECT source_id, licence, training_eligible, words_before, words_after, round(100.0::DOUBLE * words_before / sum(words_before) OVER (), 2) AS percent_before, round(100.0::DOUBLE * words_after / sum(words_after) OVER (), 2) AS percent_after, CASE WHEN NOT training_eligible THEN 'licence is unclear or incompatible with training' WHEN words_before > 6000 THEN 'capped at 6,000 words' ELSE 'included in full' END AS decision FROM a""",
     "licence_audit": f"SELECT *, CASE WHEN NOT usable THEN 'exclude_unusable' WHEN NOT coalesce(licence IN ('CC-BY-4.0', 'CC-BY-SA-4.0', 'OGL-AU', 'PUBLIC-DOMAIN'), false) THEN 'exclude_licence' ELSE 'include' END AS decision FROM (SELECT doc_id, {LICENCE} AS licence, {S.word_count('text')} >= 80 AND trim(text) <> '' AS usable FROM documents)",
     "capped_training_text": rf"WITH p AS (SELECT doc_id, text, regexp_extract_all(text, '(?s).*?{S.WORD}') AS p FROM documents), t AS (SELECT doc_id, regexp_replace(CASE WHEN len(p) > 200 THEN array_to_string(p[1:200], '') ELSE text END, '^\s+|\s+$', '', 'g') AS t FROM p) SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(t) AS text_hash FROM t",
     "integrity_violations": "SELECT 'unique order key' AS rule, l_orderkey::VARCHAR AS id FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1 UNION ALL SELECT 'order without customer', o_orderkey::VARCHAR FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 50 <> 0) UNION ALL SELECT 'balance above zero', c_custkey::VARCHAR FROM customer WHERE NOT c_acctbal > 0 UNION ALL SELECT 'customer without nation', c_custkey::VARCHAR FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation)",

@@ -130,7 +130,16 @@ def raw_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _table(spark, sf_dir, "pages")
-    raw = p.select(F.col("page_id").cast("string").alias("source_id"), F.encode("html", "utf-8").alias("html"), F.sha2("html", 256).alias("metadata_hash"), F.when(F.col("page_id") % 9 == 0, "0").otherwise(F.sha2("html", 256)).alias("provenance_hash"), F.when(F.col("page_id") % 8 == 0, "failed").otherwise("ok").alias("status"), F.col("url").alias("metadata_url"), F.when(F.col("page_id") % 7 == 0, F.lit("x")).otherwise(F.col("url")).alias("provenance_url"))
+    bad = lambda m, wrong, right: F.when(F.col("page_id") % m == 0, F.lit(wrong)).otherwise(right)
+    digest, id_ = F.sha2("html", 256), F.col("page_id").cast("string")
+    raw = p.select(
+        id_.alias("source_id"), F.encode("html", "utf-8").alias("html"), bad(8, "failed", F.lit("ok")).alias("status"),
+        bad(13, "1", digest).alias("metadata_hash"), bad(9, "0", digest).alias("provenance_hash"),
+        id_.alias("metadata_source_id"), bad(11, "x", id_).alias("provenance_source_id"),
+        F.col("url").alias("metadata_url"), bad(7, "x", F.col("url")).alias("provenance_url"),
+        bad(17, None, F.lit("CC-BY-4.0")).alias("metadata_licence"), F.lit("CC-BY-4.0").alias("provenance_licence"),
+        F.lit("2024-01-01").alias("metadata_timestamp"), bad(19, "2024-01-02", F.lit("2024-01-01")).alias("provenance_timestamp"),
+    )
     return C.raw_violations(raw)
 
 
@@ -180,7 +189,7 @@ ORACLE_SQL = {
     "collection_summary": f"SELECT count(*) AS attempted, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, count(*) - count(DISTINCT url) AS duplicate_urls, count(*) FILTER (status = 'ok' AND strlen(html) = 0) AS empty, count(*) AS unclear_licence FROM ({PAGES_STATUS})",
     "incremental_new_pages": "SELECT page_id, url FROM pages WHERE page_id % 4 <> 0",
     "raw_snapshot_diff": "SELECT page_id::VARCHAR AS path, CASE WHEN page_id % 10 = 3 THEN 'removed' ELSE 'changed' END AS change FROM pages WHERE page_id % 10 IN (3, 4)",
-    "raw_violations": "SELECT page_id::VARCHAR AS source_id, unnest(list_filter([CASE WHEN page_id % 8 = 0 THEN 'status is not ok' END, CASE WHEN page_id % 9 = 0 THEN 'provenance hash differs' END, CASE WHEN page_id % 7 = 0 THEN 'url differs' END], lambda x: x IS NOT NULL)) AS violation FROM pages",
+    "raw_violations": " UNION ALL ".join(f"SELECT page_id::VARCHAR AS source_id, '{v}' AS violation FROM pages WHERE page_id % {m} = 0" for m, v in ((8, "status is not ok"), (13, "metadata hash differs"), (9, "provenance hash differs"), (11, "source_id differs"), (7, "url differs"), (17, "licence differs"), (19, "timestamp differs"))),
     "source_names": "SELECT doc_id, source AS source_id, CASE WHEN source IN ('src1', 'src2', 'src3') THEN 'Source ' || substr(source, 4) ELSE source END AS source_name FROM documents",
     "content_duplicates": f"SELECT count(*) AS documents, count(*) - count(DISTINCT text) AS exact_duplicates, count(*) - count(DISTINCT {S.normalise_key('text')}) AS normalised_duplicates FROM documents",
     "robots_and_waits": "SELECT page_id, split_part(split_part(split_part(split_part(url, '/', 3), ':', 1), '?', 1), '#', 1) AS host, ((row_number() OVER (PARTITION BY split_part(split_part(split_part(split_part(url, '/', 3), ':', 1), '?', 1), '#', 1) ORDER BY page_id) - 1) * 2.0)::DOUBLE AS start_after_s FROM pages",

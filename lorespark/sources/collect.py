@@ -138,14 +138,22 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("path", change.alias("change")).filter("change IS NOT NULL")
 
 
+#: Fields that metadata and provenance of a raw record must agree on.
+AGREED = ("source_id", "url", "licence", "timestamp")
+
+
 def raw_violations(raw: DataFrame) -> DataFrame:
-    """source_id, violation for every broken rule of joined raw records."""
+    """source_id, violation for every broken rule of joined raw records.
+
+    raw has source_id, html, status, metadata_hash, provenance_hash, and metadata_ and provenance_ columns of each
+    field in AGREED; a null equals nothing.
+    """
     actual = F.sha2("html", 256)
     rules = F.array(
         F.when(F.coalesce("status", F.lit("")) != "ok", "status is not ok"),
         F.when(~F.coalesce(actual == F.col("metadata_hash"), F.lit(False)), "metadata hash differs"),
         F.when(~F.coalesce(actual == F.col("provenance_hash"), F.lit(False)), "provenance hash differs"),
-        F.when(~F.coalesce(F.col("metadata_url") == F.col("provenance_url"), F.lit(False)), "url differs"),
+        *[F.when(~F.coalesce(F.col(f"metadata_{f}") == F.col(f"provenance_{f}"), F.lit(False)), f"{f} differs") for f in AGREED],
     )
     return raw.select("source_id", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("violation"))
 
@@ -165,6 +173,18 @@ def raw_records(spark: SparkSession, root: str) -> DataFrame:
     return html.join(markdown, "source_id", "full").join(metadata, "source_id", "full")
 
 
+def count_violations(raw: DataFrame, expected: int) -> DataFrame:
+    """source_id (null), violation where raw_records() hold another number of pages or texts than expected."""
+    n = raw.agg(F.count("markdown").alias("texts"), F.count("html").alias("pages"))
+    said = F.format_string("expected %d texts and pages, found %d and %d", F.lit(expected), "texts", "pages")
+    return n.filter((F.col("texts") != expected) | (F.col("pages") != expected)).select(F.lit(None).cast("string").alias("source_id"), said.alias("violation"))
+
+
+def save_raw(records: DataFrame, path: str) -> None:
+    """Raw records (source_id, html as bytes, markdown, metadata) as one table; a later record of an id is another row."""
+    records.select("source_id", F.col("html").cast("binary").alias("html"), "markdown", "metadata").write.mode("append").parquet(path)
+
+
 def write_jsonl(df: DataFrame, path: str, order: str) -> None:
     """JSON lines with sorted keys, ordered by a key."""
     df.orderBy(order).select(F.to_json(F.struct(*sorted(df.columns))).alias("value")).write.mode("overwrite").text(path)
