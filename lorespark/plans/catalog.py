@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import artifact_queries, corpus_queries, extract_queries, retrieval_queries, structured_queries, text_queries
+from . import artifact_queries, corpus_queries, extract_queries, prepare_queries, retrieval_queries, structured_queries, text_queries
 
-MODULES = (text_queries, corpus_queries, extract_queries, retrieval_queries, structured_queries, artifact_queries)
+MODULES = (text_queries, corpus_queries, extract_queries, prepare_queries, retrieval_queries, structured_queries, artifact_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> None:
@@ -14,3 +14,17 @@ def prepare(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as written to spark.checkpoint.dir, so that its plan is run once and a lost executor costs a re-read.
+
+    Where that is unset, a session in one process gets a folder of its own; a cluster must name one.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(base or f"file:///tmp/checkpoints/{context.applicationId}")
+    return df.checkpoint()
