@@ -75,7 +75,9 @@ class WordEncoder:
     ASCII = re.compile(r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9]+")
     #: The same for letters and numbers of Latin scripts, which ODD lets pass.
     LATIN = re.compile(r"[a-zªµºÀ-ÖØ-öø-ɏ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼-¾]|[^\sa-z0-9ªµºÀ-ÖØ-öø-ɏ²³¹¼-¾]+")
-    ODD = re.compile("[\x7f-\xa0İ]|[^\x00-ɏ‐-‧‰-⁞]")
+    #: Capitals of Latin scripts whose small letters those patterns don't know.
+    CAPITALS = "".join(c for c in map(chr, range(0x250)) if max(c.lower()) > "ɏ")
+    ODD = re.compile(f"[\x7f-\xa0{CAPITALS}]|[^\x00-ɏ‐-‧‰-⁞]")
     #: Of ASCII: control characters that only Python has for spaces, and the start of a special token.
     ODD_ASCII = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 

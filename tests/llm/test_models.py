@@ -185,6 +185,16 @@ def test_packing_round_trip(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_packing_of_each_character():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    tok, words = Tokenizer.from_file(path), packing.WordEncoder(path)
+    for c in map(chr, [*range(0x300), *range(0x2000, 0x2070), 0x1E9E, 0x212A, 0x212B]):
+        text = f"A{c}b {c}{c} 1{c}'s !{c}? x'{c}S"
+        assert words.encode(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), hex(ord(c))
+
+
 def test_patterns_use_the_histogram():
     rng = np.random.default_rng(2)
     histogram = {int(k): int(n) for k, n in zip(rng.choice(2048, 700, replace=False) + 1, rng.integers(1, 50, 700), strict=True)}
