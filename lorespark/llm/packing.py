@@ -30,6 +30,9 @@ END_ID = 1
 #: Words in each of the two generations that a worker remembers, of at most so many characters: about 30 MB each.
 WORDS, LONGEST_WORD = 220_000, 32
 
+#: Bytes that the file's vocabulary writes as other characters; the others stand for themselves.
+HIDDEN = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SLOT = "length long, low long, high long, first_sequence long, offset long"
 
@@ -86,7 +89,14 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = _Memory(self._whole)
+        self.model = self.tokenizer.model
+        self.known = _Memory(self._word)
+
+    def _word(self, word: str) -> bytes:
+        """Of a lower-case word as the patterns find it: the normaliser and the pre-tokenizer would only write its bytes."""
+        if not (word.isascii() and word.isprintable()):
+            word = word.encode().decode("latin-1").translate(HIDDEN)
+        return _packed([x.id for x in self.model.tokenize(word)])
 
     def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)

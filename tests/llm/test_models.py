@@ -195,6 +195,14 @@ def test_packing_of_each_character():
         assert words.encode(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), hex(ord(c))
 
 
+def test_packing_needs_no_tokenizer_for_words():
+    words = packing.WordEncoder(packing.default_tokenizer())
+    text = "Don't cut l'été ½ – it's 42\x00\xad¡!"
+    want = words.tokenizer.encode(text, add_special_tokens=False).ids
+    words.tokenizer = None  # its normaliser and pre-tokenizer cost most of a new word's time
+    assert words.encode(text) == np.array(want, "<u4").tobytes()
+
+
 def test_patterns_use_the_histogram():
     rng = np.random.default_rng(2)
     histogram = {int(k): int(n) for k, n in zip(rng.choice(2048, 700, replace=False) + 1, rng.integers(1, 50, 700), strict=True)}
