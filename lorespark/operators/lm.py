@@ -1,7 +1,7 @@
 """Character and byte-pair tokenizers, unigram and bigram models.
 
-The byte-pair merge loop is sequential and runs on the driver over distinct words; counting, encoding and
-scoring are distributed. Null texts are skipped.
+Distinct words stay on executors while byte-pair merges are learned; the driver gets the parts of words that only
+the most frequent pairs hold together. Counting, encoding and scoring are distributed. Null texts are skipped.
 """
 
 from __future__ import annotations
@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..session import checkpointed, prepare
 
 #: Ids 0 to 3.
 SPECIAL = ("<PAD>", "<UNK>", "<BOS>", "<EOS>")
@@ -59,13 +61,16 @@ def pair_counts(freqs: DataFrame) -> DataFrame:
 
 
 def train_bpe(freqs: list[tuple[str, int]], merges: int = 1000) -> list[tuple[str, str]]:
-    """Merges of the most frequent pair in turn, over (word, count) in order of first occurrence.
+    """Merges of the most frequent pair in turn, over (word, count) in order of first occurrence."""
+    return _merge([[*w, END] for w, _ in freqs], [n for _, n in freqs], merges)
+
+
+def _merge(words: list[list[str]], counts: list[int], merges: int, least: int = 1) -> list[tuple[str, str]]:
+    """Merges of the most frequent pair in turn while one occurs least times; words are lists of symbols, changed in place.
 
     Pairs keep an index of the words that hold them, so a merge touches those words alone. Ties go to the pair
     met first when words are read in order.
     """
-    words = [[*w, END] for w, _ in freqs]
-    counts = [n for _, n in freqs]
     total: Counter = Counter()
     where: dict[tuple[str, str], set[int]] = defaultdict(set)
     for k, symbols in enumerate(words):
@@ -83,7 +88,7 @@ def train_bpe(freqs: list[tuple[str, int]], merges: int = 1000) -> list[tuple[st
         if not total:
             break
         most = max(total.values())
-        if most <= 0:
+        if most < least:
             break
         best = min((p for p, n in total.items() if n == most), key=first)
         out.append(best)
@@ -108,6 +113,143 @@ def train_bpe(freqs: list[tuple[str, int]], merges: int = 1000) -> list[tuple[st
     return out
 
 
+#: Symbols are code points; the end of a word and merged symbols come after them.
+FIRST_SYMBOL = 0x110000
+#: Words in a row of the learning state, parts of words that the driver gets at once, and merges after which the state is written anew.
+WORD_BLOCK, MOST_PARTS, PENDING = 50_000, 50_000, 100
+
+
+def _joined(flat: np.ndarray, a: int, b: int, to: int) -> np.ndarray:
+    """flat with every a, b replaced by to, from left to right."""
+    at = np.flatnonzero((flat[:-1] == a) & (flat[1:] == b))
+    if a == b and len(at):
+        run = np.concatenate([[0], np.cumsum(np.diff(at) != 1)])
+        at = at[(np.arange(len(at)) - np.searchsorted(run, run)) % 2 == 0]
+    if not len(at):
+        return flat
+    out = flat.copy()
+    out[at] = to
+    return np.delete(out, at + 1)
+
+
+def learn_bpe(freqs: DataFrame, merges: int = 1000) -> list[tuple[str, str]]:
+    """What train_bpe learns of freqs (word, n, first), while the words stay on executors.
+
+    A round takes the pairs that occur `least` times and more. A merge makes new pairs only where two symbols meet, and
+    no oftener than those two met before; so until the best pair occurs fewer than `least` times, words may be cut
+    wherever rarer pairs meet, and equal parts of words be added up. The driver merges those parts, the next round goes
+    on with words that have the merges. Parts are ordered by the first word that holds them and their place in it.
+    """
+    prepare(freqs.sparkSession)
+
+    def state(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for at in range(0, len(part), WORD_BLOCK):
+                some = part.iloc[at : at + WORD_BLOCK]
+                words = ["".join(w) for w in some["word"]]
+                flat = np.full(sum(map(len, words)) + 2 * len(words), -1, np.int32)
+                stops = np.cumsum([len(w) + 2 for w in words])
+                inside = np.ones(len(flat), bool)
+                inside[stops - 1] = inside[stops - 2] = False
+                flat[inside] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+                flat[stops - 2] = FIRST_SYMBOL
+                yield pd.DataFrame({"flat": [flat.tobytes()], "n": [some["n"].to_numpy(np.int64).tobytes()], "k": [some["k"].to_numpy(np.int64).tobytes()]})
+
+    kind = "flat binary, n binary, k binary"
+    ordered = freqs.orderBy("first", "word").select("word", "n", F.monotonically_increasing_id().alias("k"))  # ids grow with the order
+    held = checkpointed(ordered.mapInPandas(state, kind))
+    ids, names = {END: FIRST_SYMBOL}, {FIRST_SYMBOL: END}
+    out: list[tuple[str, str]] = []
+    pending: list[tuple[int, int, int]] = []
+    many = 64
+
+    def number(symbol: str) -> int:
+        if len(symbol) == 1:
+            return ord(symbol)
+        if symbol not in ids:
+            ids[symbol] = FIRST_SYMBOL + len(ids)
+            names[ids[symbol]] = symbol
+        return ids[symbol]
+
+    name = lambda i: names[i] if i >= FIRST_SYMBOL else chr(i)
+
+    def merged(part: pd.DataFrame, todo: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for flat, n, k in zip(part["flat"], part["n"], part["k"], strict=True):
+            flat = np.frombuffer(flat, np.int32)
+            for a, b, to in todo:
+                flat = _joined(flat, a, b, to)
+            yield flat, np.frombuffer(n, np.int64), np.frombuffer(k, np.int64)
+
+    def pairs_of(todo: list):
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                for flat, n, _ in merged(part, todo):
+                    word = np.cumsum(flat < 0)
+                    at = np.flatnonzero((flat[:-1] >= 0) & (flat[1:] >= 0))
+                    codes, of = np.unique(flat[at].astype(np.int64) << 32 | flat[at + 1], return_inverse=True)
+                    total = np.zeros(len(codes), np.int64)
+                    np.add.at(total, of, n[word[at]])
+                    yield pd.DataFrame({"pair": codes, "n": total})
+
+        return run
+
+    def parts_of(todo: list, chosen: np.ndarray):
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                for flat, n, k in merged(part, todo):
+                    word = np.cumsum(flat < 0)
+                    tied = np.isin(flat[:-1].astype(np.int64) << 32 | np.maximum(flat[1:], 0), chosen) & (flat[:-1] >= 0) & (flat[1:] >= 0)
+                    edge = np.diff(np.concatenate([[0], tied.astype(np.int8), [0]]))
+                    starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1
+                    first = np.concatenate([[0], np.flatnonzero(flat < 0) + 1])
+                    found: dict[bytes, list[int]] = {}
+                    raw = flat.tobytes()
+                    for a, b, w in zip(starts.tolist(), stops.tolist(), word[starts].tolist(), strict=True):
+                        key = raw[4 * a : 4 * b]
+                        if (x := found.get(key)) is None:
+                            found[key] = [n[w], k[w], a - first[w]]  # words of a block are in order
+                        else:
+                            x[0] += n[w]
+                    if found:
+                        total, at, place = zip(*found.values(), strict=True)
+                        yield pd.DataFrame({"part": list(found), "n": total, "k": at, "place": place})
+
+        return run
+
+    while len(out) < merges:
+        top = held.mapInPandas(pairs_of(list(pending)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pair")
+        some = top.limit(many + 1).collect()
+        if not some:
+            break
+        least = some[many]["n"] + 1 if len(some) > many else 1
+        if least > some[0]["n"]:  # many pairs tie for the first place: take them all, and only them
+            least = some[0]["n"]
+            some = top.filter(F.col("n") == least).collect()
+        chosen = np.array([r["pair"] for r in some if r["n"] >= least], np.int64)
+        parts = held.mapInPandas(parts_of(list(pending), chosen), "part binary, n long, k long, place long").groupBy("part").agg(F.sum("n").alias("n"), F.min(F.struct("k", "place")).alias("first"))
+        few = some[0]["n"] == some[len(chosen) - 1]["n"]  # fewer pairs can't be chosen
+        rows = (parts if few else parts.limit(MOST_PARTS + 1)).collect()
+        if len(rows) > MOST_PARTS and not few:
+            many = max(1, len(chosen) // 2)
+            continue
+        rows.sort(key=lambda r: (r["first"]["k"], r["first"]["place"]))
+        new = _merge([[name(i) for i in np.frombuffer(r["part"], np.int32).tolist()] for r in rows], [r["n"] for r in rows], merges - len(out), least)
+        out += new
+        pending += [(number(a), number(b), number(a + b)) for a, b in new]
+        if len(rows) < MOST_PARTS // 4:
+            many *= 2
+        if len(pending) >= PENDING and len(out) < merges:
+            todo = list(pending)
+
+            def applied(parts: Iterator[pd.DataFrame], todo: list = todo) -> Iterator[pd.DataFrame]:
+                for part in parts:
+                    for flat, n, k in merged(part, todo):
+                        yield pd.DataFrame({"flat": [flat.tobytes()], "n": [n.tobytes()], "k": [k.tobytes()]})
+
+            held, pending = checkpointed(held.mapInPandas(applied, kind)), []
+    return out
+
+
 def bpe_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     """Symbols of a word after all merges in learned order."""
     s = [*word, END]
@@ -127,18 +269,41 @@ def bpe_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return s
 
 
+#: Words that a task remembers, and texts that it splits at a time.
+WORDS_KEPT, TEXT_BLOCK = 200_000, 500
+
+
 def bpe_encode(rows: DataFrame, key: str, text: str, merges: list[tuple[str, str]]) -> DataFrame:
-    """key, tokens: each distinct word is split once, in Arrow batches, and joined back."""
+    """key, tokens of rows with a word: a task splits each word once while it remembers it, in Arrow batches."""
     prepare(rows.sparkSession)
     ranks = {p: k for k, p in enumerate(merges)}
 
-    def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame({"word": part["word"], "pieces": [bpe_word(w, ranks) for w in part["word"]]})
-
-    flat = rows.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(WORD_PIECE), F.lit(0))).alias("n", "word"))
-    pieces = flat.select("word").distinct().mapInPandas(split, "word string, pieces array<string>")
-    return flat.join(pieces, "word").groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "pieces"))), lambda x: x["pieces"])).alias("tokens"))
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, list[str]] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXT_BLOCK):
+                some = batch.slice(at, TEXT_BLOCK)
+                words = some.column(1)
+                of = words.flatten().dictionary_encode()
+                if len(kept) > WORDS_KEPT:
+                    kept.clear()
+                pieces = []
+                for w in of.dictionary.to_pylist():
+                    if (found := kept.get(w)) is None:
+                        found = kept[w] = bpe_word(w, ranks)
+                    pieces.append(found)
+                known = pa.array(pieces, pa.list_(pa.string()))
+                starts, sizes = known.offsets.to_numpy()[:-1].astype(np.int64), np.diff(known.offsets.to_numpy()).astype(np.int64)
+                index = of.indices.to_numpy(zero_copy_only=False)
+                size = sizes[index]
+                stops = np.cumsum(size)
+                tokens = known.flatten().take(pa.array(np.arange(size.sum()) + np.repeat(starts[index] - (stops - size), size)))
+                ends = np.concatenate([[0], stops])[words.offsets.to_numpy() - words.offsets[0].as_py()]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens)], names=[key, "tokens"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    found = rows.select(key, F.regexp_extract_all(F.col(text), F.lit(WORD_PIECE), F.lit(0)).alias("words")).filter("size(words) > 0")
+    return found.mapInArrow(split, f"`{key}` {kind}, tokens array<string>")
 
 
 def bpe_vocab(freqs: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:

@@ -167,9 +167,8 @@ def bpe_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bpe(spark: SparkSession, sf_dir: str, merges: int) -> list[tuple[str, str]]:
-    """Trained on the words of all documents, counted in tasks; the merge loop holds the distinct words on the driver."""
-    freqs = lm.word_freqs(_table(spark, sf_dir, "documents"), "text", "doc_id").orderBy("first", "word").select("word", "n").collect()
-    return lm.train_bpe([(r.word, r.n) for r in freqs], merges)
+    """Trained on the words of all documents, which stay on executors."""
+    return lm.learn_bpe(lm.word_freqs(_table(spark, sf_dir, "documents"), "text", "doc_id"), merges)
 
 
 def bpe_train(spark: SparkSession, sf_dir: str) -> DataFrame:
