@@ -14,6 +14,8 @@ from ..functions.text import casefold
 LONGEST_START = 6
 #: Years that meet by one key.
 YEARS = 10
+#: Parts of a decade's rows, so that no task gets all of them.
+SHARES = 256
 
 
 def held_names(texts: DataFrame, names: DataFrame, least: int = 1) -> DataFrame:
@@ -40,8 +42,10 @@ def overlapping(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     """
     decades = lambda a, b: F.explode(F.sequence(F.floor(a / YEARS), F.floor(b / YEARS)))
     end = F.coalesce("end_year", "start_year")
-    left = rows.filter((F.col("start_year") <= end)).withColumn("decade", decades(F.col("start_year"), end))
-    right = ranges.withColumn("decade", decades(F.least("low", "high"), F.greatest("low", "high"))).filter("low IS NOT NULL AND high IS NOT NULL")
-    met = left.join(right, "decade").filter((F.col("start_year") <= F.col("high")) & (end >= F.col("low")))
+    # Rows of one decade are dealt into SHARES by hash, as few decades may hold all rows; ranges go to every share.
+    share = F.pmod(F.xxhash64(*rows.columns), F.lit(SHARES)).cast("int")
+    left = rows.filter((F.col("start_year") <= end)).withColumn("share", share).withColumn("decade", decades(F.col("start_year"), end))
+    right = ranges.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).withColumn("decade", decades(F.least("low", "high"), F.greatest("low", "high"))).filter("low IS NOT NULL AND high IS NOT NULL")
+    met = left.join(right, ["decade", "share"]).filter((F.col("start_year") <= F.col("high")) & (end >= F.col("low")))
     # Both sides list the decades they share; the pair counts in the first of them.
-    return met.filter(F.col("decade") == F.greatest(F.floor(F.col("start_year") / YEARS), F.floor(F.least("low", "high") / YEARS))).drop("decade")
+    return met.filter(F.col("decade") == F.greatest(F.floor(F.col("start_year") / YEARS), F.floor(F.least("low", "high") / YEARS))).drop("decade", "share")
