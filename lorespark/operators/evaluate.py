@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import counting as N
 from .lookup import held_names, overlapping
 
 
@@ -17,16 +18,12 @@ def containment(passages: DataFrame, queries: DataFrame, p: tuple[str, str], q:
     Both sides meet by a question's longest word with what stands around it trimmed to letters: an equi-join on
     words that some question chose, then the exact check. Questions without a word are checked by their text.
     """
-    words = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    inner = lambda c: F.filter(words(c), lambda w: F.length(w) > 0)
     asked = queries.select(F.col(q[0]).alias("query_id"), F.col(q[1]).alias("_q")).filter("_q <> ''")
     # First and last words of a question may be parts of longer words in a passage; inner ones are not.
-    own = inner(F.col("_q"))
-    mid = F.slice(own, F.lit(2), F.greatest(F.size(own) - 2, F.lit(0)))
-    best = F.reduce(mid, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    asked = asked.withColumn("word", best)
+    asked = N.inner_words(asked, "query_id", "_q")
     rows = passages.select(F.col(p[0]).alias("id"), F.col(p[1]).alias("_t"))
-    keyed = rows.select("id", F.explode(F.array_distinct(inner(F.col("_t")))).alias("word"))
+    # Both sides are cut into words by the same rule; the bitmap spares other words a row.
+    keyed = N.counted(rows, "id", F.col("_t"), N.words, N.asked_bits(N.term_bucket("word"), asked.filter("word <> ''"))).select("id", F.col("term").alias("word"))
     chosen = keyed.join(asked.filter("word <> ''").select("query_id", "word"), "word").select("query_id", "id")
     rest = asked.filter("word = ''")
     hits = chosen.join(asked.select("query_id", "_q"), "query_id").join(rows, "id").filter(F.col("_t").contains(F.col("_q"))).select("query_id", "id")

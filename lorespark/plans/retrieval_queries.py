@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
 from ..operators import retrieval as R
+from ..session import checkpointed
 from . import sql as S
 
 P, Q = ("doc_id", "text"), ("item_id", "text")
@@ -54,9 +55,11 @@ def _hashed(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sparse = _ranked(spark, sf_dir, 50).select("query_id", "id", "rank")
-    dense = _hashed(spark, sf_dir, 50).select("query_id", "id", "rank")
-    return R.fuse(sparse.unionByName(dense))
+    return _fuse(_ranked(spark, sf_dir, 50), _hashed(spark, sf_dir, 50))
+
+
+def _fuse(sparse: DataFrame, hashed: DataFrame) -> DataFrame:
+    return R.fuse(sparse.select("query_id", "id", "rank").unionByName(hashed.select("query_id", "id", "rank")))
 
 
 def rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +77,7 @@ def rrf_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def structured_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence of a question: its top documents in the source of the first of them."""
-    ranked = _ranked(spark, sf_dir)
+    ranked = checkpointed(_ranked(spark, sf_dir))  # read four times
     source = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
     placed = ranked.join(source, "id")
     first = placed.filter("rank = 1 AND query_id % 3 <> 0").select("query_id", F.col("source").alias("want"))
@@ -84,7 +87,7 @@ def structured_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = R.top_k(_fused(spark, sf_dir), "query_id", "id", 10).select("query_id", "id", "score")
+    fused = checkpointed(R.top_k(_fused(spark, sf_dir), "query_id", "id", 10).select("query_id", "id", "score"))  # read three times
     lexical = R.tfidf_of_pairs(fused, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), P, Q)
     return _out(R.top_k(R.lexical_rerank(fused, lexical, 0.5), "query_id", "id", 10))
 
@@ -151,7 +154,7 @@ def gold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    out = E.traces(_ranked(spark, sf_dir), _gold(spark, sf_dir), q)
+    out = checkpointed(E.traces(_ranked(spark, sf_dir), _gold(spark, sf_dir), q))  # the threshold reads it too
     return out.withColumnRenamed("query_id", "item_id")
 
 
@@ -181,9 +184,10 @@ def failure_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def method_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Methods side by side on the development split, and which has the best MRR (ties to the later name)."""
-    runs = {"bm25": _ranked(spark, sf_dir), "hashed": _hashed(spark, sf_dir, 10), "rrf": R.top_k(_fused(spark, sf_dir), "query_id", "id", 10)}
+    sparse, hashed = checkpointed(_ranked(spark, sf_dir, 50)), checkpointed(_hashed(spark, sf_dir, 50))
+    runs = {"bm25": sparse.filter("rank <= 10"), "hashed": hashed.filter("rank <= 10"), "rrf": R.top_k(_fuse(sparse, hashed), "query_id", "id", 10)}
     q = _table(spark, sf_dir, "benchmark").filter("item_id % 4 <> 0").select(F.col("item_id").alias("query_id"))
-    return E.compare(runs, _gold(spark, sf_dir), q)
+    return E.compare(runs, checkpointed(_gold(spark, sf_dir)), q)  # read for each method
 
 
 TOK = S.search_tokens("text")
