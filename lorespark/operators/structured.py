@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from . import retrieval as R
 from .lookup import held_names, overlapping
 
@@ -60,31 +61,74 @@ def year_range(question: Column) -> tuple[Column, Column]:
     return tuple(F.nullif(F.regexp_extract(question, YEAR_RANGE, k), F.lit("")).cast("int") for k in (1, 2))
 
 
+def _asked(queries: DataFrame) -> DataFrame:
+    low, high = year_range(F.col("question"))
+    return queries.filter("question IS NOT NULL").select("query_id", "question", event_type(F.col("question")).alias("want"), low.alias("low"), high.alias("high"))
+
+
+def _events(asked: DataFrame, facts: Facts) -> DataFrame:
+    """query_id, event_id of the type and the years that questions (query_id, want, low, high) name."""
+    typed = asked.filter("want IS NOT NULL").join(facts.events, F.col("want") == F.col("event_type"))
+    end = F.coalesce("end_year", "start_year")
+    in_years = F.col("low").isNull() | ((F.col("start_year") <= F.col("high")) & (end >= F.col("low")))
+    dated = overlapping(facts.events, asked.filter("want IS NULL AND low IS NOT NULL"))
+    return typed.filter(F.coalesce(in_years, F.lit(False))).select("query_id", "event_id").unionByName(dated.select("query_id", "event_id"))
+
+
+def evidence_of_pairs(pairs: DataFrame, queries: DataFrame, facts: Facts) -> DataFrame:
+    """Those of the pairs (query_id, id) that are evidence by detect(); what else would be is not listed.
+
+    Questions that name the same type and years share their events. pairs should be a table that is there already.
+    """
+    asked = _asked(queries)
+    pairs = pairs.select("query_id", "id").distinct()
+    ids = pairs.select("id").distinct()
+    found = R.mentions(asked.select("query_id", "question"), facts.entities)
+
+    nodes = R.graph_evidence(found.select("query_id", F.col("entity_id").alias("node")).distinct(), facts.edges)
+    near = facts.entity_passages.join(ids, "id", "left_semi")
+    by_entity = nodes.join(near, nodes["node"] == near["entity_id"]).select("query_id", "id").distinct().join(pairs, ["query_id", "id"], "left_semi")
+
+    same = ["want", "low", "high"]
+    kinds = asked.filter("want IS NOT NULL OR low IS NOT NULL").select(*same, F.struct(*same).alias("kind")).distinct()
+    events = facts.events.join(facts.event_passages.select("event_id").distinct(), "event_id", "left_semi")
+    # Whether a kind has any event with a passage, from the types and years that events have.
+    years = events.select("event_type", "start_year", "end_year").distinct().withColumn("event_id", F.struct("event_type", "start_year", "end_year"))
+    any_event = _events(kinds.withColumn("query_id", F.col("kind")), Facts(facts.entities, facts.entity_passages, facts.edges, years, facts.event_passages, facts.places, facts.place_passages)).select(F.col("query_id").alias("kind")).distinct()
+    held = facts.event_passages.join(ids, "id", "left_semi")
+    close = Facts(facts.entities, facts.entity_passages, facts.edges, facts.events.join(held.select("event_id").distinct(), "event_id", "left_semi"), held, facts.places, facts.place_passages)
+    by_kind = _events(kinds.withColumn("query_id", F.col("kind")), close).join(held, "event_id").select(F.col("query_id").alias("kind"), "id").distinct()
+    kind_of = asked.select("query_id", F.struct(*same).alias("kind"))
+    by_event = pairs.join(kind_of, "query_id").join(by_kind, ["kind", "id"]).select("query_id", "id")
+
+    both = by_entity.withColumn("e", F.lit(1)).join(by_event.withColumn("v", F.lit(1)), ["query_id", "id"], "full")
+    narrowed = found.select("query_id").distinct().join(kind_of.join(any_event, "kind").select("query_id").distinct(), "query_id").withColumn("narrow", F.lit(True))
+    kept = both.join(narrowed, "query_id", "left").filter("narrow IS NULL OR (e = 1 AND v = 1)").select("query_id", "id")
+    by_place = _held_places(asked, facts).join(facts.place_passages, "place_id").select("query_id", "id").join(pairs, ["query_id", "id"], "left_semi")
+    return kept.unionByName(by_place).distinct()
+
+
+def _held_places(asked: DataFrame, facts: Facts) -> DataFrame:
+    terms = facts.places.select("place_id", F.explode(F.array("name", "suburb", "address")).alias("name")).withColumnRenamed("place_id", "name_id")
+    return held_names(asked.select(F.col("query_id").alias("text_id"), F.col("question").alias("text")), terms).withColumnsRenamed({"text_id": "query_id", "name_id": "place_id"})
+
+
 def detect(queries: DataFrame, facts: Facts) -> tuple[DataFrame, DataFrame]:
     """Evidence (query_id, id), and for each question (query_id, question) its entity_ids (sorted) and filters in order.
 
     Events narrow what entities gave if both found anything, and else add to it; places always add.
     """
-    low, high = year_range(F.col("question"))
-    asked = queries.filter("question IS NOT NULL").select("query_id", "question", event_type(F.col("question")).alias("want"), low.alias("low"), high.alias("high"))
+    asked = _asked(queries)
     found = R.mentions(asked.select("query_id", "question"), facts.entities)
-
     nodes = R.graph_evidence(found.select("query_id", F.col("entity_id").alias("node")).distinct(), facts.edges)
     by_entity = nodes.join(facts.entity_passages, nodes["node"] == facts.entity_passages["entity_id"]).select("query_id", "id").distinct()
-
-    typed = asked.filter("want IS NOT NULL").join(facts.events, F.col("want") == F.col("event_type"))
-    end = F.coalesce("end_year", "start_year")
-    in_years = F.col("low").isNull() | ((F.col("start_year") <= F.col("high")) & (end >= F.col("low")))
-    dated = overlapping(facts.events, asked.filter("want IS NULL AND low IS NOT NULL"))
-    events = typed.filter(F.coalesce(in_years, F.lit(False))).select("query_id", "event_id").unionByName(dated.select("query_id", "event_id"))
-    by_event = events.join(facts.event_passages, "event_id").select("query_id", "id").distinct()
+    by_event = _events(asked, facts).join(facts.event_passages, "event_id").select("query_id", "id").distinct()
 
     both = by_entity.withColumn("e", F.lit(1)).join(by_event.withColumn("v", F.lit(1)), ["query_id", "id"], "full")
     narrowed = found.select("query_id").distinct().join(by_event.select("query_id").distinct(), "query_id").withColumn("narrow", F.lit(True))
     kept = both.join(narrowed, "query_id", "left").filter("narrow IS NULL OR (e = 1 AND v = 1)").select("query_id", "id")
 
-    terms = facts.places.select("place_id", F.explode(F.array("name", "suburb", "address")).alias("name")).withColumnRenamed("place_id", "name_id")
-    held = held_names(asked.select(F.col("query_id").alias("text_id"), F.col("question").alias("text")), terms).withColumnsRenamed({"text_id": "query_id", "name_id": "place_id"})
+    held = _held_places(asked, facts)
     by_place = held.join(facts.place_passages, "place_id").select("query_id", "id")
 
     label = lambda kind, c: F.concat(F.lit(kind + ":"), c)
@@ -110,8 +154,8 @@ def answer(passages: DataFrame, queries: DataFrame, facts: Facts, p: tuple[str,
     q = ("query_id", "text")
     sparse = R.bm25_search(passages, wide, p, q, FUSED).select("query_id", "id", "rank")
     hashed = R.hashed_search(passages, wide, p, q, FUSED).select("query_id", "id", "rank")
-    fused = R.top_k(R.fuse(sparse.unionByName(hashed)), "query_id", "id", CANDIDATES).select("query_id", "id", "score")
-    evidence, _ = detect(queries, facts)
+    fused = checkpointed(R.top_k(R.fuse(sparse.unionByName(hashed)), "query_id", "id", CANDIDATES).select("query_id", "id", "score"))  # read four times
+    evidence = evidence_of_pairs(fused, queries, facts)
     placed = R.structured_rerank(fused, evidence).select("query_id", "id", "score")
     lexical = R.tfidf_of_pairs(fused, passages, wide, p, q)
     return R.top_k(R.lexical_rerank(placed, lexical, lexical_weight), "query_id", "id", CANDIDATES)
