@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans
 from ..functions import text as T
+from ..session import checkpointed
 from .lookup import held_names
 
 
@@ -180,9 +181,11 @@ def dates(sentence: Column, anchor: Column, rules: Rules = Rules()) -> Column:
 
 def events(passages: DataFrame, found: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """event_id, event_type, involved_entity_ids, date_original, normalised_date, location, supports, confidence, notes."""
-    said = spans.sentences(passages.select("passage_id", "document_id", "passage_index", "text"), "text")
+    # A sentence ends where no word goes on, so what matches in it matches in its passage.
+    verb = "(?i)" + "|".join(p for _, p, _ in rules.events)
+    said = spans.sentences(passages.filter(F.col("text").rlike(verb)).select("passage_id", "document_id", "passage_index", "text"), "text")
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(name).alias("event_type"), F.col("sentence").rlike(f"(?i){p}").alias("there"), F.length(F.regexp_extract("sentence", f"(?is)^(.*?){p}", 1)).alias("verb"), F.length(F.regexp_extract("sentence", f"(?i){p}", 0)).alias("verb_length")) for k, (name, p, _) in enumerate(rules.events)])
-    verbs = said.filter(F.col("sentence").rlike("(?i)" + "|".join(p for _, p, _ in rules.events)) & ~F.col("sentence").rlike(rules.veto))
+    verbs = said.filter(F.col("sentence").rlike(verb) & ~F.col("sentence").rlike(rules.veto))
     verbs = verbs.select("*", F.explode(F.filter(kinds, lambda x: x["there"])).alias("e")).select("passage_id", "document_id", "passage_index", "sentence", "start", "end", "e.kind", "e.event_type", "e.verb", (F.col("e.verb") + F.col("e.verb_length")).alias("verb_end"))
     supports = found.select("entity_id", "canonical_name", "entity_type", F.explode("supporting_passage_ids").alias("passage_id"))
     near = verbs.join(supports, "passage_id").filter(_padded("sentence").contains(_padded("canonical_name")))
@@ -214,14 +217,15 @@ def passage_mentions(passages: DataFrame, found: DataFrame) -> DataFrame:
 
 def relations(passages: DataFrame, found: DataFrame, rules: Rules = Rules()) -> tuple[DataFrame, DataFrame]:
     """Relations by phrase and by co-mention, and the entities with the relations' targets merged in."""
-    mentioned = passage_mentions(passages, found)
-    said = spans.sentences(passages.select("passage_id", "document_id", "passage_index", "text"), "text")
+    mentioned = checkpointed(passage_mentions(passages, found))  # read three times
+    sentences = lambda some: spans.sentences(some.select("passage_id", "document_id", "passage_index", "text"), "text")
     kinds = F.array(*[
         F.struct(F.lit(k).alias("kind"), F.lit(name).alias("relation_type"), F.lit(target).alias("target_type"), F.regexp_extract("sentence", f"(?i:{verb}){extra}{rules.proper}", 1).alias("target"), F.length(F.regexp_extract("sentence", f"(?s)^(.*?)(?i:{verb}){extra}{rules.proper}", 1)).alias("at"))
         for k, (name, verb, extra, target) in enumerate(rules.relations)
     ])
-    # Few sentences hold a verb at all; only they go through the patterns.
-    verbal = said.filter(F.col("sentence").rlike("(?i)" + "|".join(f"(?:{verb})" for _, verb, _, _ in rules.relations)))
+    # Few passages and sentences hold a verb at all; only they go through the patterns.
+    verb = "(?i)" + "|".join(f"(?:{verb})" for _, verb, _, _ in rules.relations)
+    verbal = sentences(passages.filter(F.col("text").rlike(verb))).filter(F.col("sentence").rlike(verb))
     hits = verbal.select("*", F.explode(F.filter(kinds, lambda x: x["target"] != "")).alias("k")).select("passage_id", "document_id", "sentence", "start", "end", "k.kind", "k.relation_type", "k.target_type", "k.at", T.clean_name("k.target").alias("target")).filter(F.length("target") >= 3)
     near = hits.join(mentioned.filter(~F.col("entity_type").isin("place", "suburb", "street")), "passage_id")
     last = _last_start(F.col("sentence"), F.col("canonical_name"), F.col("at") - F.length("canonical_name"))
@@ -239,7 +243,7 @@ def relations(passages: DataFrame, found: DataFrame, rules: Rules = Rules()) ->
     rank = Window.partitionBy("passage_id", is_place).orderBy(-F.length("canonical_name"), "entity_id")
     tops = mentioned.withColumn("_place", is_place).withColumn("_n", F.row_number().over(rank)).filter("_n = 1")
     pair = tops.filter("NOT _place").select("passage_id", F.col("entity_id"), F.col("canonical_name").alias("subject")).join(tops.filter("_place").select("passage_id", F.col("entity_id").alias("object_entity_id"), F.col("canonical_name").alias("place")), "passage_id")
-    located = said.join(pair, "passage_id").withColumn("_at", F.position(_padded("subject"), _padded("sentence"))).filter("_at > 0")
+    located = sentences(passages.join(pair.select("passage_id"), "passage_id", "left_semi")).join(pair, "passage_id").withColumn("_at", F.position(_padded("subject"), _padded("sentence"))).filter("_at > 0")
     clause = F.regexp_extract(F.substr("sentence", (F.col("_at") + F.length("subject")).cast("int")), rules.locative, 0)
     located = located.filter(_padded(clause).contains(_padded("place"))).withColumn("relation_type", F.lit("LOCATED_IN"))
     located = located.withColumn("_n", F.row_number().over(Window.partitionBy("passage_id").orderBy("start"))).filter("_n = 1")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extract as X
 from ..operators import windows as W
+from ..session import checkpointed
 from . import sql as S
 
 YEAR = "(1850 + n_nationkey)"
@@ -73,30 +74,36 @@ def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id IS NOT NULL")
     key = F.col("doc_id").cast("string").alias("document_id")
     documents = d.select(key, F.col("source").alias("source_id"), F.coalesce("source", F.lit("")).alias("title"), F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")).alias("source_url"))
-    return documents, W.passages(d.select(key, F.coalesce("text", F.lit("")).alias("cleaned_text"))).select("passage_id", "document_id", "passage_index", "text")
+    passages = W.passages(d.select(key, F.coalesce("text", F.lit("")).alias("cleaned_text"))).select("passage_id", "document_id", "passage_index", "text")
+    return documents, checkpointed(passages)  # every rule reads them
 
 
-def entities_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     documents, passages = _documents(spark, sf_dir)
-    _, merged = X.relations(passages, X.entities(documents, passages))
+    return documents, passages, checkpointed(X.entities(documents, passages))
+
+
+def entities_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, passages, found = _found(spark, sf_dir)
+    _, merged = X.relations(passages, found)
     return merged.select("entity_id", "canonical_name", "entity_type", "confidence", "extraction_method", F.size("supporting_passage_ids").cast("long").alias("supports"))
 
 
 def events_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, passages = _documents(spark, sf_dir)
-    e = X.events(passages, X.entities(documents, passages))
+    _, passages, found = _found(spark, sf_dir)
+    e = X.events(passages, found)
     return e.select("event_id", "event_type", F.get("supporting_passage_ids", F.lit(0)).alias("passage_id"), F.get("involved_entity_ids", F.lit(0)).alias("entity_id"), "date_original", F.col("normalised_date.start_year").alias("start_year"), "supporting_text")
 
 
 def relations_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, passages = _documents(spark, sf_dir)
-    relations, _ = X.relations(passages, X.entities(documents, passages))
+    _, passages, found = _found(spark, sf_dir)
+    relations, _ = X.relations(passages, found)
     return relations.select("relation_type", "subject_entity_id", "object_entity_id", F.get("supporting_passage_ids", F.lit(0)).alias("passage_id"))
 
 
 def places_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, passages = _documents(spark, sf_dir)
-    p = X.places(documents, passages, X.entities(documents, passages))
+    documents, passages, found = _found(spark, sf_dir)
+    p = X.places(documents, passages, found)
     return p.select("id", F.col("properties.name").alias("name"), "geometry.coordinates", F.col("properties.suburb").alias("suburb"))
 
 

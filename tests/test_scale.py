@@ -91,3 +91,13 @@ def test_evidence_of_pairs(spark, facts):
     assert want and {(r.query_id, r.id) for r in structured.evidence_of_pairs(pairs, queries, facts).collect()} == want
     some = pairs.filter("query_id % 2 = 0")
     assert {(r.query_id, r.id) for r in structured.evidence_of_pairs(some, queries, facts).collect()} == {x for x in want if x[0] % 2 == 0}
+
+
+def test_texts_give_rows_only_where_a_name_may_start(spark):
+    """Not a row for each run of characters; struct ids, short and long names, ends of texts, other planes."""
+    texts = spark.createDataFrame([((1, 0), "x" * 3000 + " The Grand Hotel"), ((1, 1), "grand hote"), ((2, 0), "😀 Ödön Straße"), ((2, 1), None), ((3, 0), "")], "text_id struct<id:long,n:int>, text string")
+    names = spark.createDataFrame([(1, "grand hotel"), (2, "ödön strasse"), (3, "x"), (4, "😀"), (5, "grand"), (6, None), (7, "")], "name_id long, name string")
+    held = lookup.held_names(texts, names)
+    assert sorted((r.text_id.id, r.text_id.n, r.name_id) for r in held.collect()) == [(1, 0, 1), (1, 0, 3), (1, 0, 5), (1, 1, 5), (2, 0, 2), (2, 0, 4)]
+    assert "Generate" not in _plan(held)
+    assert lookup.held_names(texts, names.filter("false")).count() == 0
