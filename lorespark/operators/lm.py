@@ -7,7 +7,7 @@ the most frequent pairs hold together. Counting, encoding and scoring are distri
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, prepare
+from . import counting as N
 
 #: Ids 0 to 3.
 SPECIAL = ("<PAD>", "<UNK>", "<BOS>", "<EOS>")
@@ -355,6 +356,23 @@ def bigram_perplexity(train: DataFrame, held: DataFrame, key: str, order: str, t
     pairs = bigrams(train, key, order, token).groupBy("left", "right").agg(F.count(F.lit(1)).alias("c2"))
     v = train.select(token).union(held.select(token)).distinct().agg(F.count(F.lit(1)).alias("v"))
     asked = bigrams(held, key, order, token).groupBy("left", "right").agg(F.count(F.lit(1)).alias("m"))
-    rows = asked.join(pairs, ["left", "right"], "left").join(context, "left", "left").join(F.broadcast(v))  # one row of v
+    return _bigram_perplexity(asked.join(pairs, ["left", "right"], "left"), context, v, alpha)
+
+
+def bigram_perplexity_of_texts(train: DataFrame, held: DataFrame, text: str, alpha: float = ALPHA) -> DataFrame:
+    """bigram_perplexity over the search tokens of texts, whose pairs are counted where the texts are, without their order as rows."""
+
+    def count(rows: DataFrame, terms: Callable[[str], list[str]], name: str) -> DataFrame:
+        return N.totals(rows, F.col(text), terms).withColumnRenamed("n", name)
+
+    context = checkpointed(count(train, N.search_terms, "c1")).withColumnRenamed("term", "left")  # read twice
+    v = context.select("left").union(count(held, N.search_terms, "m").select("term")).distinct().agg(F.count(F.lit(1)).alias("v"))
+    left = F.split_part("term", F.lit(" "), F.lit(1))  # a token holds no space
+    asked = count(held, N.search_pairs, "m").join(count(train, N.search_pairs, "c2"), "term", "left")
+    return _bigram_perplexity(asked.select(left.alias("left"), "m", "c2"), context, v, alpha)
+
+
+def _bigram_perplexity(asked: DataFrame, context: DataFrame, v: DataFrame, alpha: float) -> DataFrame:
+    rows = asked.join(context, "left", "left").join(F.broadcast(v))  # one row of v
     logp = F.log((F.coalesce("c2", F.lit(0)) + alpha) / (F.coalesce("c1", F.lit(0)) + alpha * F.col("v")))
     return rows.agg(F.exp(-F.sum(F.col("m") * logp) / F.sum("m")).alias("perplexity"))

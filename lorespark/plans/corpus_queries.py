@@ -197,7 +197,8 @@ def unigram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bigram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lm.bigram_perplexity(_tokens(spark, sf_dir, "doc_id % 10 <> 0"), _tokens(spark, sf_dir, "doc_id % 10 = 0"), "doc_id", "n", "token")
+    d = _table(spark, sf_dir, "documents")
+    out = lm.bigram_perplexity_of_texts(d.filter("doc_id % 10 <> 0"), d.filter("doc_id % 10 = 0"), "text")
     return out.select(F.round("perplexity", 3).alias("perplexity"))
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lorespark.functions.text import search_tokens
 from lorespark.operators import counting, lm, lookup, retrieval, structured, windows
 
 from .test_structured import QUESTIONS, facts  # noqa: F401
@@ -101,3 +102,13 @@ def test_texts_give_rows_only_where_a_name_may_start(spark):
     assert sorted((r.text_id.id, r.text_id.n, r.name_id) for r in held.collect()) == [(1, 0, 1), (1, 0, 3), (1, 0, 5), (1, 1, 5), (2, 0, 2), (2, 0, 4)]
     assert "Generate" not in _plan(held)
     assert lookup.held_names(texts, names.filter("false")).count() == 0
+
+
+def test_bigrams_of_texts(spark):
+    """As over a row for each token, without a window over a text's tokens."""
+    rows = spark.createDataFrame([(1, "a b c a b"), (2, "A b, it’s a b"), (3, ""), (4, None), (5, "z")], "id long, t string")
+    tokens = rows.select("id", F.posexplode(search_tokens("t")).alias("n", "token"))
+    got = lm.bigram_perplexity_of_texts(rows.filter("id <> 2"), rows.filter("id = 2"), "t")
+    want = lm.bigram_perplexity(tokens.filter("id <> 2"), tokens.filter("id = 2"), "id", "n", "token")
+    assert got.first().perplexity == pytest.approx(want.first().perplexity, rel=1e-12)
+    assert "Window" not in _plan(got)
